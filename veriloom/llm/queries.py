@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, topn
+from veriloom.llm import components, golden, lookalike, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,9 +96,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(pairs, "a", "b")
 
 
+# ---- 10: visually identical text ----------------------------------------------------------------------------------
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_look_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common form of every text: its digest, its length and whether it differs from the stored text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    formed = lookalike.common_form(docs, "text", "form")
+    return formed.select(
+        "doc_id", F.md5("form").alias("form_md5"), F.length("form").alias("form_chars"), (~F.col("form").eqNullSafe(F.col("text"))).alias("changed")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
     "p4_found": p4_found,
+    "p10_found": p10_found,
+    "p10_forms": p10_forms,
 }
