@@ -42,4 +42,16 @@ reach AS (SELECT a AS id, a AS other FROM sym UNION SELECT reach.id, sym.b FROM
 SELECT id, min(other) AS group_id FROM reach GROUP BY id
 """
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4}
+P7 = """
+WITH v AS (
+  SELECT id, max(vector)::DOUBLE[] AS x FROM kg_evidence
+  WHERE id IS NOT NULL AND len(vector) = 96
+    AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0
+  GROUP BY id),
+u AS (SELECT id, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)))) AS x FROM v),
+s AS (SELECT a.id, b.id AS other, round(list_dot_product(a.x, b.x), 9) AS cos FROM u a JOIN u b ON a.id <> b.id),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) <= 5)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM t WHERE cos >= 0.8
+"""
+
+ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7}

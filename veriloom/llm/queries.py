@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, lookalike, topn
+from veriloom.llm import components, golden, lookalike, neighbours, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(pairs, "a", "b")
 
 
+# ---- 7: most similar vectors ---------------------------------------------------------------------------------------
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.similar_vectors(table(spark, sf_dir, "kg_evidence"), "id", "vector", dims=96, k=5, min_cos=0.8)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 # ---- 10: visually identical text ----------------------------------------------------------------------------------
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
     "p4_found": p4_found,
+    "p7_found": p7_found,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
 }
