@@ -30,15 +30,19 @@ PENDING_WORDS = "apply applied review reviewed submit submitted request requeste
 MONTHS = "January February March April May June July August September October November December".split()
 
 # White space as Unicode text tools see it (regex engines differ on \s).
-SPACE_CHARS = (
-    "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0            "
-    "    　"
+SPACE_CHARS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0" + "".join(
+    map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 # Characters that leave no mark on paper.
-INVISIBLE_CHARS = (
-    "­͏؜᠎​‌‍‎‏‪‫‬‭‮"
-    "⁠⁡⁢⁣⁤⁦⁧⁨⁩︎️﻿"
-)
+INVISIBLE_CHARS = "".join(
+    map(
+        chr,
+        [
+            0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F),
+            *range(0x2060, 0x2065), *range(0x2066, 0x206A), 0xFE0E, 0xFE0F, 0xFEFF,
+        ],
+    )
+)
 EDGE_CHARS = "\"'()[]{}.,;:!?"
 
 # Identifier families a demonstrative noun ("this loan") may stand for.

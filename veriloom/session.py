@@ -63,6 +63,16 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a costly row-wise step at least as many tasks as there are cores.
+
+    A small file is one scan task; larger inputs already have enough and are
+    left where they are, so no text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
     """Names (not contents) of the data files of one directory."""
     jvm = spark.sparkContext._jvm
