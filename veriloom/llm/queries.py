@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, lookalike, neighbours, topn
+from veriloom.llm import components, golden, lookalike, neighbours, sentences, topn
+from veriloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +97,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(pairs, "a", "b")
 
 
+# ---- 5: sentence boundaries ----------------------------------------------------------------------------------------
+
+def pages(spark: SparkSession, sf_dir: str, scanned: bool) -> DataFrame:
+    """Pages of files marked needs_ocr or of all others (a file that is not listed is not marked); redelivered pages repeat."""
+    marked = table(spark, sf_dir, "pdf_results").filter("needs_ocr and document is not null").select("document").distinct()
+    seg = table(spark, sf_dir, "segments").select("seg_id", "document", "page_number", "text", "lang").filter("seg_id is not null")
+    return seg.join(marked, "document", "left_semi" if scanned else "left_anti")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A redelivered page gives the same units again: comparing units moves no text.
+    return sentences.sentence_units(spread(pages(spark, sf_dir, scanned=False)), "seg_id", "text").distinct()
+
+
 # ---- 7: most similar vectors ---------------------------------------------------------------------------------------
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
