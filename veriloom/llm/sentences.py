@@ -26,6 +26,11 @@ COMPANY = "Ltd Inc Corp Co Bros".split()
 # German words before an ordinal and month names after one.
 BEFORE_ORDINAL = "am Am vom Vom zum Zum im Im bis Bis ab Ab den dem der des".split()
 MONTHS_DE = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
+# Function words that open a sentence, so a full stop before them is one.
+STARTERS = (
+    "The An Nobody No He She It They We You This That These Those There But And However Further In On At After Before When Who Did Was "
+    "Were Is See According Neither Die Der Das Ein Eine Es Er Sie Wir Wer Le La Les Un Une Il Elle Qui El Los Las Una Quién"
+).split()
 
 _WS = "[" + V.SPACE_CHARS + "]"
 _NOT_IN_WORD = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}\p{N}])"
@@ -66,9 +71,12 @@ def mask(text: Column) -> Column:
         f"(\\p{{L}},{_WS}(?:\\p{{Lu}}{DOT}{_WS}?){{0,3}}\\p{{Lu}}){DOT}(?={_WS}+[“\"«„(]?(?:\\p{{Lu}}(?![.{DOT}])|[0-9]{{1,3}}[.)]))",
         "$1.",
     )
-    # A given name cut to three letters, after a word in lower case, a mark or at the start.
-    ahead_of_name = r"(?:^|\n|[.!?;:,“\"„«(" + DOT + "]" + _WS + r"?|(?<![\p{L}\p{M}])[\p{Ll}\p{M}’']{1,24}" + _WS + ")"
-    t = sub(t, r"\.(?=" + _WS + r"\p{Lu}\p{Ll})(?<=" + ahead_of_name + r"\p{Lu}\p{Ll}{2}\.)", DOT)
+    starters = f"(?:{_any(STARTERS)}(?![\\p{{L}}.{DOT}]))"
+    t = sub(t, f"((?:[ap]{DOT}{_WS}?m|{_NOT_IN_WORD}\\p{{Lu}})){DOT}(?={_WS}+{starters})", "$1.")
+    # A given name cut to three letters, unless a capitalised word (a name it would close) stands before it.
+    name = f"(?!Ltd|Inc|Plc)\\p{{Lu}}\\p{{Ll}}{{2}}\\."
+    free = f"(?<![0-9]{_WS})(?<![A-ZÀ-Þ][\\p{{IsLatin}}\\p{{M}}’'-]{{0,24}}{_WS})(?<!\\p{{IsLatin}}){name}"
+    t = sub(t, f"\\.(?={_WS}\\p{{Lu}}\\p{{Ll}})(?<=(?:{free}|{_any(STARTERS)}{_WS}{name}))", DOT)
     # Numbers that open a line or a sentence, and ordinals.
     t = sub(t, r"(?m)\.(?=" + _WS + r")(?<=^[ \t]{0,8}(?:[0-9]{1,3}|[IVXLC]{1,5})\.)", DOT)
     t = sub(t, r"\.(?=" + _WS + r"+[\p{L}“\"«„])(?<=[.!?…。！？।”“»\")\]]" + _WS + r"{1,3}[0-9]{1,3}\.)", DOT)
