@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, lookalike, neighbours, sentences, topn
+from veriloom.llm import components, golden, lookalike, neighbours, scans, sentences, topn
 from veriloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(spread(pages(spark, sf_dir, scanned=False)), "seg_id", "text").distinct()
 
 
+# ---- 6: scanned pages ----------------------------------------------------------------------------------------------
+
+def scan(spark: SparkSession, sf_dir: str) -> scans.Scan:
+    seg = table(spark, sf_dir, "segments").select("seg_id", "text")
+    shown = table(spark, sf_dir, "mentions").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}0-9]+"), F.lit(0))).alias("word"))
+    names = shown.filter(F.col("word").rlike(r"^\p{Lu}")).select(F.lower("word").alias("w")).distinct()
+    return scans.Scan(pages(spark, sf_dir, scanned=True), seg, names)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, sf_dir).findings()
+
+
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, sf_dir).paragraphs()
+
+
 # ---- 7: most similar vectors ---------------------------------------------------------------------------------------
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +156,8 @@ QUERIES: dict[str, Query] = {
     "p2_consensus": p2_consensus,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_paragraphs": p6_paragraphs,
     "p7_found": p7_found,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
