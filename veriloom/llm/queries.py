@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, lookalike, neighbours, scans, sentences, topn
+from veriloom.llm import components, golden, lookalike, neighbours, scans, sentences, topn, variants
 from veriloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,12 @@ def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(shared_ids(rec), "id", "left_semi").select("id", "name", "entity_type")
 
 
+# ---- 3: variant spellings ------------------------------------------------------------------------------------------
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_pairs(variants.shown_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "mentions")))
+
+
 # ---- 4: consolidating pairs ----------------------------------------------------------------------------------------
 
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
