@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
-from veriloom.llm import components, golden, lookalike, neighbours, scans, sentences, topn, variants
-from veriloom.session import spread
+from veriloom.llm import components, golden, lookalike, mixing, neighbours, packing, scans, sentences, tokens, topn, variants
+from veriloom.session import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +141,41 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+# ---- 8 and 9: containers and mixtures ---------------------------------------------------------------------------------
+
+def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return materialize(tokens.token_counts(spread(docs), "text"), "doc_tokens")
+
+
+def container_kinds(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """The kinds of container: a fixed table of a few rows."""
+    rows = table(spark, sf_dir, "container_kinds").filter("container is not null and capacity_tokens > 0")
+    return sorted((r.container, int(r.capacity_tokens)) for r in rows.groupBy("container").agg(F.max("capacity_tokens").alias("capacity_tokens")).collect())
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = counted_documents(spark, sf_dir)
+    return packing.pack(docs, "doc_id", "n_tokens", None, container_kinds(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: containers, tokens, parts and the share of the capacity that stays unused."""
+    kinds = container_kinds(spark, sf_dir)
+    cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))
+    per = p8_containers(spark, sf_dir).groupBy("kind", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    per = per.groupBy("kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts"), F.max("tokens").alias("fullest"))
+    return per.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * cap[F.col("kind")]), 6))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(counted_documents(spark, sf_dir), "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 # ---- 10: visually identical text ----------------------------------------------------------------------------------
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +201,10 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_paragraphs": p6_paragraphs,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
 }
