@@ -9,6 +9,8 @@ counts over the whole corpus; windows over the lines reflow the paragraphs.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,10 +182,18 @@ class Scan:
         corpus = spread(corpus.filter(F.col("text").isNotNull()).select("text"))
         self.words = materialize(word_counts(corpus, "text"), "scan_words")
         self.pairs = materialize(pair_counts(corpus, "text"), "scan_pairs")
-        self.names = names.select("w").distinct()
+        self.names = materialize(names.select("w").distinct(), "scan_names")
         body = self.lines.filter(F.col("line").rlike(r"\S")).join(self.furniture, ["seg_id", "line_no"], "left_anti")
         self.body = materialize(body, "scan_body")
 
+    @cached_property
+    def divided(self) -> DataFrame:
+        return materialize(self.hyphens(), "scan_hyphens")
+
+    @cached_property
+    def fixes(self) -> DataFrame:
+        return materialize(self.repairs(), "scan_repairs")
+
     def hyphens(self) -> DataFrame:
         """seg_id, line_no, a, b: lines that end in the first part of a word divided for the line break only."""
         in_page = Window.partitionBy("seg_id").orderBy("line_no")
@@ -213,7 +223,7 @@ class Scan:
 
     def repairs(self) -> DataFrame:
         """seg_id, line_no, wrong, right: misrecognised, wrongly split and run-together ordinary words."""
-        cut = self.hyphens().select("seg_id", "line_no")
+        cut = self.divided.select("seg_id", "line_no")
         tokens = words_of(self.body)
         last = Window.partitionBy("seg_id", "line_no")
         tokens = tokens.withColumn("last", F.max("pos").over(last))
@@ -221,14 +231,14 @@ class Scan:
         starts = self.after(cut)
         tokens = tokens.join(ends, ["seg_id", "line_no"], "left").join(starts, ["seg_id", "line_no"], "left")
         free = ~((F.col("ends").isNotNull() & (F.col("pos") == F.col("last"))) | (F.col("starts").isNotNull() & (F.col("pos") == 0)))
-        tokens = tokens.filter(free).withColumn("w", F.lower("word"))
+        tokens = materialize(tokens.filter(free).select("seg_id", "line_no", "pos", "word", F.lower("word").alias("w")), "scan_tokens")
         single = corrections(self.words, self.names).union(joined_words(self.words, self.pairs, self.names))
-        single = single.groupBy("w").agg(F.max_by("right", "n_right").alias("right"))
+        single = materialize(single.groupBy("w").agg(F.max_by("right", "n_right").alias("right")), "scan_single")
         one = tokens.join(single, "w").select("seg_id", "line_no", F.col("word").alias("wrong"), "right")
         pairs = tokens.alias("l").join(
             tokens.select("seg_id", "line_no", (F.col("pos") - 1).alias("pos"), F.col("word").alias("word2"), F.col("w").alias("b")), ["seg_id", "line_no", "pos"]
         )
-        bad = split_words(self.words, self.pairs, self.names)
+        bad = materialize(split_words(self.words, self.pairs, self.names), "scan_split")
         two = pairs.join(bad, [F.col("w") == F.col("a"), pairs["b"] == bad["b"]]).select(
             "seg_id", "line_no", F.concat_ws(" ", "word", "word2").alias("wrong"), "right"
         )
@@ -245,8 +255,8 @@ class Scan:
     def findings(self) -> DataFrame:
         """seg_id, line_no, kind ('furniture', 'hyphen' or 'misread')."""
         f = self.furniture.select("seg_id", "line_no", F.lit("furniture").alias("kind"))
-        h = self.hyphens().select("seg_id", "line_no", F.lit("hyphen").alias("kind"))
-        m = self.repairs().select("seg_id", "line_no", F.lit("misread").alias("kind"))
+        h = self.divided.select("seg_id", "line_no", F.lit("hyphen").alias("kind"))
+        m = self.fixes.select("seg_id", "line_no", F.lit("misread").alias("kind"))
         return f.union(h).union(m.distinct()).select("seg_id", F.col("line_no").cast("int").alias("line_no"), "kind").distinct()
 
     def paragraphs(self) -> DataFrame:
@@ -254,9 +264,9 @@ class Scan:
 
         A paragraph ends at a blank line, or where the page ends.  Pages without text give no rows.
         """
-        fixes = self.repairs().distinct().groupBy("seg_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
+        fixes = self.fixes.distinct().groupBy("seg_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
         gone = self.furniture.withColumn("page_only", F.lit(True))
-        cut = self.hyphens().select("seg_id", "line_no", F.lit(True).alias("divided"))
+        cut = self.divided.select("seg_id", "line_no", F.lit(True).alias("divided"))
         rows = self.lines.join(gone, ["seg_id", "line_no"], "left").filter("page_only is null").join(fixes, ["seg_id", "line_no"], "left").join(cut, ["seg_id", "line_no"], "left")
         mended = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<wrong:string,right:string>>")), F.col("line"), lambda t, x: F.replace(t, x["wrong"], x["right"]))
         body = F.trim(F.regexp_replace(mended, _BLANK + "+", " "))
