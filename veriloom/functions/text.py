@@ -117,15 +117,6 @@ def first_date(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), DATE_PATTERN, 2), F.lit(""))
 
 
-def status_of(c: Column) -> Column:
-    """'approved', 'pending' or null from the first word of a predicate."""
-    t = F.lower(strip(F.coalesce(c, F.lit(""))))
-    head = F.regexp_extract(t, "^[^ ]+", 0)
-    return F.when(head.isin(V.APPROVED_WORDS) | t.contains("approv"), "approved").when(
-        head.isin(V.PENDING_WORDS) | t.contains("review"), "pending"
-    )
-
-
 def score_hundredths(subject: Column, obj: Column, via_prep: Column, via_agent: Column) -> Column:
     """Confidence of an extracted relation in hundredths: base by pattern, then a bonus or a malus per endpoint."""
     s = F.when(via_agent, 80).when(via_prep, 70).otherwise(75)

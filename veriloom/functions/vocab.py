@@ -25,8 +25,6 @@ QUESTION_STOPWORDS = (
     "the a an of and in on for to is are was were what which who whom where when why how does do did tell about me give list show"
 ).split()
 ENDPOINT_STOPWORDS = "the a an it this that these those he she they we you i its their his her them him".split()
-APPROVED_WORDS = "approve approved grant granted accept accepted".split()
-PENDING_WORDS = "apply applied review reviewed submit submitted request requested consider".split()
 MONTHS = "January February March April May June July August September October November December".split()
 
 # White space as Unicode text tools see it (regex engines differ on \s).
