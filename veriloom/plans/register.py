@@ -24,7 +24,7 @@ from veriloom.plans.catalog import query
 from veriloom.sources import tables as S
 
 QUESTION = "Who leased warehouses from Samuel Chalgerimark for spare parts?"
-HUB_NAME = "Samuel Chalgerimark"
+HUB_NAME = "samuel chalgerimark"
 DOC = "consolidated_register.pdf"
 
 # ---- SQL prelude ---------------------------------------------------------------------------------------------------------
@@ -58,7 +58,7 @@ edges AS (SELECT * EXCLUDE (doc0), nullif(doc0, chr(0)) AS source_document FROM
 NODES = f"{ENT}, nodes AS (SELECT id, arg_min(coalesce(name, chr(0)), rec_id) AS name0, arg_min(coalesce(entity_type, chr(0)), rec_id) AS type0 FROM ent GROUP BY id), node AS (SELECT id, nullif(name0, chr(0)) AS name, nullif(type0, chr(0)) AS entity_type FROM nodes)"
 NAMED = f"""{EDGES}, {NODES},
 named AS (SELECT e.* EXCLUDE (confidence), coalesce(e.confidence, 0.5) AS confidence, a.name AS subject, b.name AS object FROM edges e JOIN node a ON a.id = e.sid JOIN node b ON b.id = e.oid)"""
-HUB = f"hub AS (SELECT min(id) AS hub FROM entities WHERE name = '{HUB_NAME}')"
+HUB = f"hub AS (SELECT min(id) AS hub FROM entities WHERE normalized_name = '{HUB_NAME}')"
 CONTAINS = "con AS (SELECT DISTINCT unnest(documents) AS document, id AS entity_id FROM ent), contains AS (SELECT * FROM con WHERE document IS NOT NULL)"
 
 
@@ -82,7 +82,7 @@ def graph(spark: SparkSession, d: str) -> G.Graph:
 
 def hub(spark: SparkSession, d: str) -> str:
     """The entity the single-entity reads are asked about."""
-    row = S.table(spark, d, "entities").filter(F.col("name") == HUB_NAME).agg(F.min("id")).first()
+    row = S.table(spark, d, "entities").filter(F.col("normalized_name") == HUB_NAME).agg(F.min("id")).first()
     return row[0] or ""
 
 
