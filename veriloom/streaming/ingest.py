@@ -8,14 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veriloom.functions import text as X
 from veriloom.operators.graph import merge_relations
-from veriloom.session import list_files  # noqa: F401  (re-exported for callers that inspect snapshots)
 
 
-def relation_stream(spark: SparkSession, folder: str, schema, watermark: str = "10 days") -> DataFrame:
-    """New files of a folder as a stream; every (ord, ingested_at) passes once within the watermark."""
-    raw = spark.readStream.schema(schema).parquet(folder)
-    timed = raw.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).withWatermark("ingested_at", watermark)
-    return timed.dropDuplicatesWithinWatermark(["ord", "ingested_at"])
+def relation_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """New files of a folder as a stream.
+
+    No watermark: a relation may arrive months late and must not be lost.  Repeated deliveries are
+    harmless, because the merge they feed is keyed and its lists only take what is absent.
+    """
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def hourly_counts(stream: DataFrame, time: str, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
@@ -55,7 +56,7 @@ def run_ingest(spark: SparkSession, folder: str, schema, out: str, checkpoint: s
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        edges = merge_relations(df)
+        edges = merge_relations(df.dropDuplicates(["ord", "ingested_at"]))
         if epoch > 0:
             edges = merge_edges(spark.read.parquet(f"{out}/v{epoch - 1}"), edges)
         edges.write.mode("overwrite").parquet(f"{out}/v{epoch}")
