@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import vocab as V
+from veriloom.llm.variants import GIVEN_NAMES
 
 DOT, BREAK = chr(0xE000), chr(0xE001)  # private use
 
@@ -21,7 +22,7 @@ DOT, BREAK = chr(0xE000), chr(0xE001)  # private use
 TITLES = "Dr Mr Mrs Ms Prof St Sr Sra Srta Hr Rev Hon Capt Sgt Ing डॉ श्री प्रो".split()
 LEADING = "vs cf vgl bzw ca approx aprox avda ref incl inkl evtl см ул тыс кв resp".split()
 # Abbreviations that announce a number.
-NUMBERED = "no nr nos n p pp vol art sec fig figs abb bl рис стр pág ch h par ziff".split()
+NUMBERED = "nr nos n p pp vol art sec fig figs abb bl рис стр pág ch h par ziff".split()
 COMPANY = "Ltd Inc Corp Co Bros".split()
 # German words before an ordinal and month names after one.
 BEFORE_ORDINAL = "am Am vom Vom zum Zum im Im bis Bis ab Ab den dem der des".split()
@@ -32,6 +33,9 @@ STARTERS = (
     "Were Is See According Neither Die Der Das Ein Eine Es Er Sie Wir Wer Le La Les Un Une Il Elle Qui El Los Las Una Quién"
 ).split()
 
+# Given names cut to three letters.
+CUT_GIVEN = sorted({e.partition(":")[0][:3].title() for e in GIVEN_NAMES})
+
 _WS = "[" + V.SPACE_CHARS + "]"
 _NOT_IN_WORD = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}\p{N}])"
 #: Longest quotation inside which terminators are looked through, in characters.
@@ -61,6 +65,8 @@ def mask(text: Column) -> Column:
     t = sub(t, r"[.!?](?=[^\s])(?<=(?:www|//)[^\s]{0,200}.)", DOT)
     t = sub(t, f"\\.(?<={_NOT_IN_WORD}{_any(TITLES + LEADING)}\\.)", DOT)
     t = sub(t, f"(?iu)\\.(?={_WS}*[0-9])(?<={_NOT_IN_WORD}{_any(NUMBERED)}\\.)", DOT)
+    # "no." is also an answer: before the number of the next list item it ends a sentence.
+    t = sub(t, f"(?i)\\.(?={_WS}*[0-9]+(?![0-9]|\\.{_WS}+\\p{{Lu}}))(?<={_NOT_IN_WORD}no\\.)", DOT)
     t = sub(t, f"\\.(?={_WS}+(?!\\p{{Ll}}-?\\p{{Lu}})[\\p{{Ll}}\\p{{Lo}}])(?<={_any(COMPANY)}\\.)", DOT)
     # Single letters: initials, "e.g.", "z. B."; letters that follow a surname and a comma may end a sentence.
     t = sub(t, r"\.(?=" + _WS + r"?\p{L}[." + DOT + "])(?<=" + _NOT_IN_WORD + r"\p{L}\.)", DOT)
@@ -74,9 +80,9 @@ def mask(text: Column) -> Column:
     starters = f"(?:{_any(STARTERS)}(?![\\p{{L}}.{DOT}]))"
     t = sub(t, f"((?:[ap]{DOT}{_WS}?m|{_NOT_IN_WORD}\\p{{Lu}})){DOT}(?={_WS}+{starters})", "$1.")
     # A given name cut to three letters, unless a capitalised word (a name it would close) stands before it.
-    name = f"(?!Ltd|Inc|Plc)\\p{{Lu}}\\p{{Ll}}{{2}}\\."
+    name = f"{_any(CUT_GIVEN)}\\."
     free = f"(?<![0-9]{_WS})(?<![A-ZÀ-Þ][\\p{{IsLatin}}\\p{{M}}’'-]{{0,24}}{_WS})(?<!\\p{{IsLatin}}){name}"
-    t = sub(t, f"\\.(?={_WS}\\p{{Lu}}\\p{{Ll}})(?<=(?:{free}|{_any(STARTERS)}{_WS}{name}))", DOT)
+    t = sub(t, f"\\.(?={_WS}(?!{starters})\\p{{Lu}}\\p{{Ll}})(?<=(?:{free}|{_any(STARTERS)}{_WS}{name}))", DOT)
     # Numbers that open a line or a sentence, and ordinals.
     t = sub(t, r"(?m)\.(?=" + _WS + r")(?<=^[ \t]{0,8}(?:[0-9]{1,3}|[IVXLC]{1,5})\.)", DOT)
     t = sub(t, r"\.(?=" + _WS + r"+[\p{L}“\"«„])(?<=[.!?…。！？।”“»\")\]]" + _WS + r"{1,3}[0-9]{1,3}\.)", DOT)

@@ -107,7 +107,7 @@ def top_n_per_group(
     ties: list[Column],
     n: int,
     carry: list[str],
-    row_group_bytes: int = 4 << 20,
+    row_group_bytes: int = 1 << 20,
 ) -> DataFrame:
     """The ``n`` rows of highest ``score`` in every ``group``; returns ``carry``.
 
