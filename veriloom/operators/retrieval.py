@@ -29,7 +29,7 @@ def keyword_topk(all_facts: DataFrame, question: str, k: int = 8) -> DataFrame:
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
 def vector_topk(points: DataFrame, key: str, vector: str, query: list[float], k: int = 8) -> DataFrame:
