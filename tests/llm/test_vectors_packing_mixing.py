@@ -30,7 +30,7 @@ def test_neighbours_exact_on_one_part(spark):
 
 
 def test_neighbours_equal_vectors(spark):
-    vec = {f"c{i:02d}": [1.0, 2, 0, 0, 0, 0, 0, 0] for i in range(20)} | {"z": [1.0, 2.1, 0, 0, 0, 0, 0, 0]}
+    vec = {f"c{i:02d}": [1.0, 2.0] + [0.0] * 6 for i in range(20)} | {"z": [1.0, 2.1] + [0.0] * 6}
     assert found(spark, list(vec.items()), 3, 0.8) == exact(vec, 3, 0.8)
     assert found(spark, [], 3, 0.8) == set()
 
