@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import vocab as V
 from veriloom.functions import text as X
+from veriloom.session import side_by_side
 
 
 def good(c: str = "confidence") -> Column:
@@ -18,7 +19,7 @@ def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     e = entities.agg(F.count("*").alias("num_entities"), F.round(F.avg(F.when(F.col("entity_type") == "NOUN_PHRASE", 1.0).otherwise(0.0)), 3).alias("noun_phrase_ratio"))
     linked = F.col("subject_id").isNotNull() & F.col("object_id").isNotNull()
     r = relations.agg(F.count("*").alias("num_relations"), F.sum(linked.cast("long")).alias("linked_relations"), F.sum((~linked).cast("long")).alias("unlinked_relations"))
-    return e.crossJoin(F.broadcast(r))  # one row each
+    return side_by_side(e, r)
 
 
 def type_histogram(entities: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def eval_metrics(entities: DataFrame, relations: DataFrame) -> DataFrame:
         F.round(F.avg(F.coalesce(good(), F.lit(0.5)).cast("decimal(18,6)")).cast("double"), 3).alias("avg_confidence"),
         F.sum(F.when(F.coalesce("event_date", F.lit("")) != "", 1).otherwise(0)).alias("with_event_date"),
     )
-    return e.crossJoin(F.broadcast(r))
+    return side_by_side(e, r)
 
 
 def quality_gates(entities: DataFrame, relations: DataFrame, max_noun_phrase_ratio: float = 0.85) -> DataFrame:
@@ -50,7 +51,7 @@ def quality_gates(entities: DataFrame, relations: DataFrame, max_noun_phrase_rat
     verb = F.lower(F.coalesce("predicate", F.lit("")))
     kept = (verb == "be") & X.amount_like(F.col("object_text"))
     r = relations.agg(F.sum(F.when(verb.isin(V.DROPPED_PREDICATES) & ~kept, 1).otherwise(0)).alias("banned_predicates"))
-    both = e.crossJoin(F.broadcast(r))
+    both = side_by_side(e, r)
     return both.select(
         F.round("ratio", 3).alias("noun_phrase_ratio"), "numeric_entities", "overlong_entities", "banned_predicates",
         ((F.col("ratio") <= max_noun_phrase_ratio) & (F.col("numeric_entities") == 0) & (F.col("banned_predicates") == 0)).alias("passed"),

@@ -64,7 +64,10 @@ def hop_expand(seeds: DataFrame, all_facts: DataFrame, max_extra: int = 6) -> Da
     """Facts that touch an end of a seed fact and are no seed triple, in input order."""
     names = seeds.select(F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("name")).filter("name is not null").distinct()
     keys = seeds.select(_key().alias("k")).distinct()
-    touch = all_facts.join(F.broadcast(names), (F.lower("subject") == F.col("name")) | (F.lower("object") == F.col("name")), "left_semi")  # seeds: a few rows
+    touch = all_facts
+    for side in ("subject", "object"):
+        touch = touch.join(F.broadcast(names.select(F.col("name").alias(f"_{side}"))), F.lower(side) == F.col(f"_{side}"), "left")  # seeds: a few rows
+    touch = touch.filter("_subject is not null or _object is not null").drop("_subject", "_object")
     return touch.withColumn("k", _key()).join(F.broadcast(keys), "k", "left_anti").drop("k").orderBy("ord").limit(max_extra)
 
 

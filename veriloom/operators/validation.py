@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
+from veriloom.session import side_by_side
 
 
 def _part(a: str, b: str | None = None) -> Column:
@@ -65,4 +66,4 @@ def report(relations: DataFrame) -> DataFrame:
     kept = contradictions(deduplicate(with_evidence(relations))).agg(
         F.count("*").alias("kept"), F.sum(F.col("copies") - 1).alias("duplicates_merged"), F.sum(F.col("contradicted").cast("long")).alias("contradicted")
     )
-    return total.crossJoin(F.broadcast(kept))  # one row each
+    return side_by_side(total, kept)

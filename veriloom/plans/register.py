@@ -21,6 +21,7 @@ from veriloom.operators import retrieval as T
 from veriloom.operators import validation as VA
 from veriloom.plans import duck as D
 from veriloom.plans.catalog import query
+from veriloom.session import side_by_side
 from veriloom.sources import tables as S
 
 QUESTION = "Who leased warehouses from Samuel Chalgerimark for spare parts?"
@@ -731,7 +732,7 @@ def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
     b = S.current_segments(spark, d).agg(F.count("*").alias("num_pages"), F.sum(blank).alias("empty_pages"))
     m = S.current_mentions(spark, d).agg(F.count("*").alias("num_mentions"))
     r = rel(spark, d).agg(F.count("*").alias("num_relations"))
-    return a.crossJoin(b).crossJoin(m).crossJoin(r)  # one row each
+    return side_by_side(a, b, m, r)
 
 
 @query(
@@ -752,7 +753,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def eval_delta(spark: SparkSession, d: str) -> DataFrame:
     a = S.table(spark, d, "relations").agg(F.count("*").alias("before"))
     b = VA.deduplicate(VA.with_evidence(rel(spark, d))).agg(F.count("*").alias("after"))
-    return a.crossJoin(b).withColumn("delta", F.col("after") - F.col("before"))  # one row each
+    return side_by_side(a, b).withColumn("delta", F.col("after") - F.col("before"))
 
 
 @query(

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -63,6 +64,14 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row frames (no join: each column has one value in all)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*(F.max(c).alias(c) for c in out.columns))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly row-wise step at least as many tasks as there are cores.
 
