@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.session import materialize
@@ -133,10 +133,11 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = mixed.groupBy("source").agg(
         F.count("*").alias("documents"), F.max("uses").alias("most_used"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens")
     )
-    total = per.agg(F.sum("tokens").alias("total"))
     wanted = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    return wanted.join(per, "source", "left").join(F.broadcast(total)).select(
+    used = F.coalesce("tokens", F.lit(0))
+    every = Window.partitionBy()  # one row per listed source
+    return wanted.join(per, "source", "left").withColumn("total", F.sum(used).over(every)).select(
         "source", "target_share", "max_repeats",
-        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_used", F.lit(0)).alias("most_used"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_used", F.lit(0)).alias("most_used"), used.alias("tokens"),
+        F.round(F.try_divide(used.cast("double"), F.col("total").cast("double")), 6).alias("share"),
     )

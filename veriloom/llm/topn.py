@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.session import fresh_path, list_files
+from veriloom.session import fresh_path, list_files, materialize
 
 _STATS = T.StructType(
     [
@@ -86,8 +87,6 @@ def _reader(n: int, ties: list[str]):
                     first = pa.chunked_array([pa.array([True])]) if size == 1 else pa.chunked_array(
                         [pa.array([True]), *pc.not_equal(g.slice(1), g.slice(0, size - 1)).chunks]
                     )
-                    import numpy as np
-
                     starts = np.flatnonzero(first.to_numpy())
                     rank = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
                     keep = t.filter(pa.array(rank < n))
@@ -136,11 +135,10 @@ def top_n_per_group(
     if not names:
         return spark.createDataFrame([], laid.select(*carry).schema)
     files = spark.createDataFrame([(p,) for p in names], "path string").repartition(min(len(names), parts))
-    stats = files.mapInArrow(_footers, _STATS)
+    stats = materialize(files.mapInArrow(_footers, _STATS), "topn_stats")
     # A group's N-th score is at least the minimum of any row group that holds n rows of it and nothing else.
-    enough = F.when(F.col("pure") & (F.col("n_rows") >= n), F.col("s_min"))
-    stats = stats.withColumn("floor", F.max(enough).over(Window.partitionBy("g_min")))
-    needed = stats.filter(~(F.col("pure") & F.col("floor").isNotNull() & (F.col("s_max") < F.col("floor"))))
+    known = stats.filter(F.col("pure") & (F.col("n_rows") >= n)).groupBy("g_min").agg(F.max("s_min").alias("floor"))
+    needed = stats.join(known, "g_min", "left").filter(~(F.col("pure") & F.col("floor").isNotNull() & (F.col("s_max") < F.col("floor"))))
     plan = needed.groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("s_max", "rg", "pure", "g_min")), asc=False).alias("parts")
     )
