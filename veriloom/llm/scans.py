@@ -26,7 +26,7 @@ _WORD = r"[\p{L}\p{M}0-9@|]+"
 _BLANK = "[" + V.SPACE_CHARS + "]"
 _LABEL = r"(?:page|seite|página|pagina|pág\.?|pag\.?|p\.?|s\.?)"
 _PAGE_NUMBER = (
-    r"(?iu)^[\[(—–\-]?\s*" + _LABEL + r"?\s*(?:[0-9lOoIS]{1,4})(?:\s*(?:of|de|sur|von|/)\s*[0-9lOoIS]{1,4})?\s*[\])—–\-]?$"
+    r"(?iu)^(?=.*[0-9])[\[(—–\-]?\s*" + _LABEL + r"?\s*(?:[0-9lOoIS]{1,4})(?:\s*(?:of|de|sur|von|/)\s*[0-9lOoIS]{1,4})?\s*[\])—–\-]?$"
 )
 
 
