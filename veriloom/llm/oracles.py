@@ -54,4 +54,25 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DE
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM t WHERE cos >= 0.8
 """
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7}
+def _look(x: str) -> str:
+    """A plain fold for comparison: width, spacing, invisible characters, composition, one letter per glyph class."""
+    from veriloom.llm import lookalike as L
+
+    folds = L._folds()
+    gone = "".join(chr(c) for c, v in folds.items() if v is None)
+    single = {chr(c): v for c, v in folds.items() if v is not None and len(v) == 1}
+    several = {chr(c): v for c, v in folds.items() if v is not None and len(v) > 1 and (0xFB00 <= c <= 0xFB06 or c == 0x2026)}
+    t = f"translate(translate({x}, {D.chars(gone)}, ''), '{''.join(single)}', {D.lit(''.join(single.values()))})"
+    for a, b in several.items():
+        t = f"replace({t}, '{a}', '{b}')"
+    classes = {m: min(c) for c in set(L.CLASSES.values()) for m in c if m != min(c)}
+    return f"translate(nfc_normalize({t}), '{''.join(classes)}', '{''.join(classes.values())}')"
+
+
+P10 = f"""
+WITH f AS (SELECT doc_id, text, {_look('text')} AS form FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+WHERE NOT regexp_full_match(a.form, '\\s*')
+"""
+
+ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p10_found": P10}
