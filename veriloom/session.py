@@ -7,13 +7,16 @@ absent (unit tests, a laptop) a temporary folder is created and registered.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "veriloom", master: str = "local[*]", partitions: int = 8) -> SparkSession:
@@ -43,6 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that they need no path to it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="veriloom_"), "veriloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("veriloom", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}_{uuid.uuid4().hex}"
 
