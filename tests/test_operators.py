@@ -193,3 +193,23 @@ def test_streaming_ingest(spark, sf, tmp_path):
     last = max(p.name for p in (tmp_path / "out").iterdir())
     got = spark.read.parquet(f"{tmp_path}/out/{last}")
     assert got.count() == merge_relations(raw).count()
+
+
+def test_pipeline(spark):
+    from veriloom.plans import pipeline
+
+    m = mentions(spark, ("Acme Corporation", "ORG"), ("Acme", "ORG"), ("Priya Singh", "PERSON"), ("Priya", "NOUN_PHRASE"))
+    r = rel(spark, {"subject_text": "Priya", "object_text": "Acme Corp", "sentence": "Priya joined Acme Corp on 5 May 2024."}, {"subject_text": "Acme", "object_text": "New Bank"}, {"sentence": " "})
+    g, stats = pipeline.ingest(m, r)
+    # Also the dropped relation leaves its endpoint "B" as a node.
+    assert stats.first().num_entities == 4 and stats.first().linked_relations == 2
+    assert g.edges.count() == 2 and g.events.count() == 1
+    turn = pipeline.answer("Who joined Acme?", r, generate=lambda q, c: f"{q} {len(c) > 0}")
+    assert turn["answer"] == "Who joined Acme? True" and turn["facts"].count() >= 1
+
+
+def test_cli(capsys):
+    from veriloom import cli
+
+    assert cli.main(["--list"]) == 0 and "keyword_topk" in capsys.readouterr().out
+    assert cli.main(["nothing", "x"]) == 2
