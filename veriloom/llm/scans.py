@@ -109,29 +109,25 @@ def furniture(lines: DataFrame) -> DataFrame:
     return by_file.select(cols).union(single.select(cols)).union(marks.select(cols)).union(numbers.select(cols)).union(specks.select(cols)).distinct()
 
 
-def words_of(lines: DataFrame) -> DataFrame:
-    """seg_id, line_no, pos, word (as written) of every line."""
-    return lines.select("seg_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))).alias("pos", "word"))
+def token_counts(texts: DataFrame, text: str) -> DataFrame:
+    """word (as written), next (lower-case word that only a blank separates from it, else null), n: one pass over the corpus."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}0-9@|]+(?: (?=[\p{L}0-9]))?"), F.lit(0))
+    rows = texts.select(tokens.alias("t")).filter(F.size("t") > 0)
+    rows = rows.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p"))
+    ahead = F.when(F.endswith("p.a", F.lit(" ")), F.lower(F.rtrim("p.b")))
+    return rows.groupBy(F.rtrim("p.a").alias("word"), ahead.alias("next")).agg(F.count("*").alias("n"))
 
 
-def word_counts(texts: DataFrame, text: str) -> DataFrame:
+def word_counts(counted: DataFrame) -> DataFrame:
     """w, n, n_low: lower-case words of the whole corpus, how often, and how often written in lower case."""
-    w = texts.select(F.explode(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("word"))
-    counted = w.groupBy("word").agg(F.count("*").alias("n"))
     return counted.groupBy(F.lower("word").alias("w")).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("n_low")
     )
 
 
-def pair_counts(texts: DataFrame, text: str) -> DataFrame:
+def pair_counts(counted: DataFrame) -> DataFrame:
     """a, b, n: neighbouring lower-case words that only a blank separates."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}0-9@|]+(?: (?=[\p{L}0-9]))?"), F.lit(0))
-    two = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(F.get("t", i).alias("a"), F.get("t", i + 1).alias("b"))),
-        lambda p: p["a"].endswith(" "),
-    )
-    rows = texts.select(tokens.alias("t")).filter(F.size("t") >= 2).select(F.explode(two).alias("p"))
-    return rows.groupBy(F.trim("p.a").alias("a"), F.trim("p.b").alias("b")).agg(F.count("*").alias("n"))
+    return counted.filter("next is not null").groupBy(F.lower("word").alias("a"), F.col("next").alias("b")).agg(F.sum("n").alias("n"))
 
 
 def corrections(words: DataFrame, names: DataFrame) -> DataFrame:
@@ -180,8 +176,9 @@ class Scan:
         self.lines = materialize(spread(lines_of(self.pages)), "scan_all_lines")
         self.furniture = materialize(furniture(self.lines), "scan_furniture")
         corpus = spread(corpus.filter(F.col("text").isNotNull()).select("text"))
-        self.words = materialize(word_counts(corpus, "text"), "scan_words")
-        self.pairs = materialize(pair_counts(corpus, "text"), "scan_pairs")
+        counted = materialize(token_counts(corpus, "text"), "scan_counts")
+        self.words = materialize(word_counts(counted), "scan_words")
+        self.pairs = materialize(pair_counts(counted), "scan_pairs")
         self.names = materialize(names.select("w").distinct(), "scan_names")
         body = self.lines.filter(F.col("line").rlike(r"\S")).join(self.furniture, ["seg_id", "line_no"], "left_anti")
         self.body = materialize(body, "scan_body")
@@ -224,33 +221,29 @@ class Scan:
     def repairs(self) -> DataFrame:
         """seg_id, line_no, wrong, right: misrecognised, wrongly split and run-together ordinary words."""
         cut = self.divided.select("seg_id", "line_no")
-        tokens = words_of(self.body)
-        last = Window.partitionBy("seg_id", "line_no")
-        tokens = tokens.withColumn("last", F.max("pos").over(last))
-        ends = cut.withColumn("ends", F.lit(True))
-        starts = self.after(cut)
-        tokens = tokens.join(ends, ["seg_id", "line_no"], "left").join(starts, ["seg_id", "line_no"], "left")
-        free = ~((F.col("ends").isNotNull() & (F.col("pos") == F.col("last"))) | (F.col("starts").isNotNull() & (F.col("pos") == 0)))
-        tokens = materialize(tokens.filter(free).select("seg_id", "line_no", "pos", "word", F.lower("word").alias("w")), "scan_tokens")
-        single = corrections(self.words, self.names).union(joined_words(self.words, self.pairs, self.names))
-        single = materialize(single.groupBy("w").agg(F.max_by("right", "n_right").alias("right")), "scan_single")
-        one = tokens.join(single, "w").select("seg_id", "line_no", F.col("word").alias("wrong"), "right")
-        pairs = tokens.alias("l").join(
-            tokens.select("seg_id", "line_no", (F.col("pos") - 1).alias("pos"), F.col("word").alias("word2"), F.col("w").alias("b")), ["seg_id", "line_no", "pos"]
+        # The parts of divided words are settled per line, before the words are taken apart.
+        lines = self.body.select("seg_id", "line_no", "line").join(cut.withColumn("ends", F.lit(1)), ["seg_id", "line_no"], "left")
+        lines = lines.join(self.after(cut), ["seg_id", "line_no"], "left").select(
+            "seg_id", "line_no", "line", F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)).alias("t"),
+            F.coalesce("starts", F.lit(0)).alias("lo"), F.coalesce("ends", F.lit(0)).alias("cut"),
         )
-        bad = materialize(split_words(self.words, self.pairs, self.names), "scan_split")
-        two = pairs.join(bad, [F.col("w") == F.col("a"), pairs["b"] == bad["b"]]).select(
-            "seg_id", "line_no", F.concat_ws(" ", "word", "word2").alias("wrong"), "right"
-        )
-        shown = self.body.select("seg_id", "line_no", "line")
-        two = two.join(shown, ["seg_id", "line_no"]).filter(F.contains("line", F.col("wrong"))).select("seg_id", "line_no", "wrong", "right")
-        return one.union(two)
+        n = F.size("t") - F.col("lo") - F.col("cut")
+        lines = lines.filter(n > 0).withColumn("t", F.slice("t", F.col("lo") + 1, n))
+        rows = lines.select("seg_id", "line_no", "line", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p"))
+        both = F.concat_ws(" ", "p.a", "p.b")
+        keyed = rows.select("seg_id", "line_no", F.col("p.a").alias("one"), F.when(F.col("p.b").isNotNull() & F.contains("line", both), both).alias("two"))
+        keyed = keyed.select("seg_id", "line_no", F.explode(F.array_compact(F.array("one", "two"))).alias("wrong"))
+        single = corrections(self.words, self.names).union(joined_words(self.words, self.pairs, self.names))
+        single = single.groupBy("w").agg(F.max_by("right", "n_right").alias("right"))
+        split = split_words(self.words, self.pairs, self.names).select(F.concat_ws(" ", "a", "b").alias("w"), "right")
+        verdicts = materialize(single.union(split), "scan_verdicts")
+        return keyed.withColumn("w", F.lower("wrong")).join(verdicts, "w").select("seg_id", "line_no", "wrong", "right")
 
     def after(self, cut: DataFrame) -> DataFrame:
         """The lines of a page that follow a divided word."""
         order = Window.partitionBy("seg_id").orderBy("line_no")
         nxt = self.body.select("seg_id", "line_no", F.lead("line_no").over(order).alias("after"))
-        return nxt.join(cut, ["seg_id", "line_no"]).filter("after is not null").select("seg_id", F.col("after").alias("line_no"), F.lit(True).alias("starts"))
+        return nxt.join(cut, ["seg_id", "line_no"]).filter("after is not null").select("seg_id", F.col("after").alias("line_no"), F.lit(1).alias("starts"))
 
     def findings(self) -> DataFrame:
         """seg_id, line_no, kind ('furniture', 'hyphen' or 'misread')."""
