@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.session import materialize
@@ -46,10 +46,10 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x)
     k = min(k, n - 1)
     out = np.empty((n, k), np.int32)
-    for a in range(0, n, 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, n, 512):
+        s = x[a : a + 512] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        out[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -242,8 +242,6 @@ def similar_vectors(
     query = placed.select("part", every("ni").alias("ib"), spread("nq", 2).alias("qb"), F.lit(1).cast("tinyint").alias("role"), "rep", "vec")
     found = index.union(query).groupBy("part", "ib", "qb").applyInArrow(_search(k, min_cos), "rep string, cand string, cos double")
     # A class of equal vectors offers its k + 1 smallest ids; more can never be among anybody's k best.
-    from pyspark.sql import Window
-
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("id"))).filter(F.col("n") <= k + 1)
     first = first.groupBy("same").agg(F.collect_list("id").alias("ids"))
     offer = reps.join(first, "same").select(F.col("rep").alias("cand"), "ids")
