@@ -93,3 +93,18 @@ def test_scan_paragraphs(scan):
     text = {(r.seg_id, r.para_no): r.text for r in scan.paragraphs().collect()}
     assert text[(1, 1)] == "today the board approved the measurement without changes today" and text[(1, 2)] == "said so today" and text[(2, 1)] == "FINDINGS"
     assert not any(k[0] in (9, 10) for k in text)
+
+
+def test_split_words_of_names(spark):
+    words = [("valve", 40, 40), ("warehouse", 80, 39), ("kelmo", 40, 0), ("va", 2, 2), ("lve", 2, 2), ("ware", 3, 2), ("house", 3, 2), ("kel", 1, 0), ("mo", 1, 1)]
+    pairs = [("va", "lve", 2, 2), ("ware", "house", 3, 2), ("kel", "mo", 1, 0)]
+    words, pairs = spark.createDataFrame(words, "w string, n long, n_low long"), spark.createDataFrame(pairs, "a string, b string, n long, n_low long")
+    names = spark.createDataFrame([("valve",), ("warehouse",), ("kelmo",)], "w string")
+    assert {tuple(r) for r in scans.split_words(words, pairs, names).collect()} == {("va", "lve", "valve", False), ("ware", "house", "warehouse", True)}
+
+
+def test_joined_words_of_names(spark):
+    words = spark.createDataFrame([("themeter", 1, 1), ("kelmopark", 1, 0)], "w string, n long, n_low long")
+    pairs = spark.createDataFrame([("the", "meter", 40, 40), ("kelmo", "park", 40, 0)], "a string, b string, n long, n_low long")
+    names = spark.createDataFrame([("themeter",), ("kelmopark",)], "w string")
+    assert [tuple(r) for r in scans.joined_words(words, pairs, names).collect()] == [("themeter", "the meter", 40)]

@@ -126,16 +126,21 @@ def word_counts(counted: DataFrame) -> DataFrame:
 
 
 def pair_counts(counted: DataFrame) -> DataFrame:
-    """a, b, n: neighbouring lower-case words that only a blank separates."""
-    return counted.filter("next is not null").groupBy(F.lower("word").alias("a"), F.col("next").alias("b")).agg(F.sum("n").alias("n"))
+    """a, b, n, n_low: neighbouring lower-case words that only a blank separates, how often, and how often the first is written in lower case."""
+    return counted.filter("next is not null").groupBy(F.lower("word").alias("a"), F.col("next").alias("b")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("n_low")
+    )
+
+
+def named(words: DataFrame, names: DataFrame) -> DataFrame:
+    """``words`` and name: whether a word of ``names`` (w), the words of proper names, is mostly written with a capital."""
+    tagged = words.join(names.select("w", F.lit(True).alias("named")), "w", "left")
+    return tagged.withColumn("name", F.coalesce("named", F.lit(False)) & (F.col("n_low") * 2 < F.col("n"))).drop("named")
 
 
 def corrections(words: DataFrame, names: DataFrame) -> DataFrame:
     """w, right: rare forms whose skeleton has one dominant, ordinary form. ``names`` (w): words of proper names, left alone."""
-    tagged = words.join(names.select("w", F.lit(True).alias("named")), "w", "left").withColumn(
-        "name", F.coalesce("named", F.lit(False)) & (F.col("n_low") * 2 < F.col("n"))
-    )
-    tagged = tagged.select("w", "n", "n_low", "name", skeleton(F.col("w")).alias("sk"))
+    tagged = named(words, names).select("w", "n", "n_low", "name", skeleton(F.col("w")).alias("sk"))
     best = tagged.groupBy("sk").agg(F.max_by(F.struct("w", "n", "name"), F.struct("n", "w")).alias("best"), F.count("*").alias("forms"))
     usable = F.col("best.w").rlike(r"^[\p{L}\p{M}]+$") & (F.col("best.n") >= FREQUENT)
     best = best.filter((F.col("forms") > 1) & usable)
@@ -150,20 +155,25 @@ def joined_words(words: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFr
     """w, right: rare words that are two words run together, the pair being frequent on its own."""
     ordinary = pairs.filter(F.col("n") >= FREQUENT).select(F.concat("a", "b").alias("w"), F.concat_ws(" ", "a", "b").alias("right"), F.col("n").alias("n_pair"))
     ordinary = ordinary.groupBy("w").agg(F.max_by("right", F.struct("n_pair", "right")).alias("right"), F.max("n_pair").alias("n_pair"))
-    rare = words.filter(F.length("w") >= 4).join(names, "w", "left_anti")
+    rare = named(words.filter(F.length("w") >= 4), names).filter(~F.col("name"))
     return rare.join(ordinary, "w").filter(F.col("n_pair") >= DOMINANCE * F.col("n")).select("w", "right", F.col("n_pair").alias("n_right"))
 
 
 def split_words(words: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """a, b, right: neighbours that are one frequent ordinary word wrongly split."""
-    whole = words.filter((F.col("n") >= FREQUENT) & (F.length("w") >= 4)).join(names, "w", "left_anti").select("w", F.col("n").alias("n_whole"))
+    """a, b, right, low: neighbours that are one frequent ordinary word wrongly split.
+
+    Of a word that is mostly a name only the writings in lower case count, and only they are mended (``low``).
+    """
+    whole = named(words.filter((F.col("n") >= FREQUENT) & (F.length("w") >= 4)), names)
+    whole = whole.select("w", F.col("name").alias("low"), F.when(F.col("name"), F.col("n_low")).otherwise(F.col("n")).alias("n_whole")).filter(F.col("n_whole") >= FREQUENT)
     part = words.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
     other = words.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
-    found = pairs.withColumn("w", F.concat("a", "b")).join(whole, "w").filter(F.col("n_whole") >= DOMINANCE * F.col("n"))
+    n_pair = F.when(F.col("low"), F.col("n_low")).otherwise(F.col("n"))
+    found = pairs.withColumn("w", F.concat("a", "b")).join(whole, "w").filter(F.col("n_whole") >= DOMINANCE * n_pair)
     found = found.join(part, "b").join(other, "a")
     # One of the parts is hardly a word of its own, or the pair itself is very rare.
     rare = F.least("n_a", "n_b") * 2 <= F.col("n_whole")
-    return found.filter(rare & (F.length("w") >= 4)).select("a", "b", F.col("w").alias("right"))
+    return found.filter(rare & (F.length("w") >= 4)).select("a", "b", F.col("w").alias("right"), "low")
 
 
 class Scan:
@@ -234,10 +244,11 @@ class Scan:
         keyed = rows.select("seg_id", "line_no", F.col("p.a").alias("one"), F.when(F.col("p.b").isNotNull() & F.contains("line", both), both).alias("two"))
         keyed = keyed.select("seg_id", "line_no", F.explode(F.array_compact(F.array("one", "two"))).alias("wrong"))
         single = corrections(self.words, self.names).union(joined_words(self.words, self.pairs, self.names))
-        single = single.groupBy("w").agg(F.max_by("right", "n_right").alias("right"))
-        split = split_words(self.words, self.pairs, self.names).select(F.concat_ws(" ", "a", "b").alias("w"), "right")
+        single = single.groupBy("w").agg(F.max_by("right", "n_right").alias("right")).withColumn("low", F.lit(False))
+        split = split_words(self.words, self.pairs, self.names).select(F.concat_ws(" ", "a", "b").alias("w"), "right", "low")
         verdicts = materialize(single.union(split), "scan_verdicts")
-        return keyed.withColumn("w", F.lower("wrong")).join(verdicts, "w").select("seg_id", "line_no", "wrong", "right")
+        found = keyed.withColumn("w", F.lower("wrong")).join(verdicts, "w").filter(~F.col("low") | (F.col("wrong") == F.col("w")))
+        return found.select("seg_id", "line_no", "wrong", "right")
 
     def after(self, cut: DataFrame) -> DataFrame:
         """The lines of a page that follow a divided word."""
