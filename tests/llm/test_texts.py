@@ -108,3 +108,23 @@ def test_joined_words_of_names(spark):
     pairs = spark.createDataFrame([("the", "meter", 40, 40), ("kelmo", "park", 40, 0)], "a string, b string, n long, n_low long")
     names = spark.createDataFrame([("themeter",), ("kelmopark",)], "w string")
     assert [tuple(r) for r in scans.joined_words(words, pairs, names).collect()] == [("themeter", "the meter", 40)]
+
+
+def test_page_numbers_inside_a_page(spark):
+    body = [f"line {w} of the text goes on" for w in "one two three four five six seven eight nine ten".split()]
+    at = {1: (5, "- 1 -"), 2: (0, "2"), 3: (0, "3"), 4: (5, "4"), 5: (5, "17"), 6: (0, "6")}
+    pages = [(p, "a.pdf", p, "\n".join(body[:i] + [n] + body[i:])) for p, (i, n) in at.items()]
+    pages[5] = (6, "a.pdf", 6, pages[5][3].replace(body[4], "6"))  # a second number that happens to fit
+    head = "Kelmo Inspection File"
+    pages += [(10 + p, "b.pdf", p, "\n".join(body[:5] + [head] + [n] + body[5:])) for p, n in ((1, "i"), (2, "Page 7 of 9"), (3, "2024"))]
+    pages += [(10 + p, "b.pdf", p, "\n".join([head, *body])) for p in (4, 5)]
+    scanned = spark.createDataFrame(pages, "seg_id long, document string, page_number int, text string")
+    got = {tuple(r) for r in scans.furniture(scans.lines_of(scanned)).select("seg_id", "line_no").collect()}
+    assert {(1, 5), (4, 5), (2, 0), (3, 0), (6, 0), (11, 6), (12, 6)} <= got
+    assert not {(5, 5), (6, 5), (13, 6)} & got
+
+
+def test_number_of(spark):
+    shown = {"Page l of 4": 1, "S. 12": 12, "— 3 —": 3, "xiv": 14, "lll": 3, "1O": 10, "vx": None, "2024-05": None}
+    df = spark.createDataFrame([(k,) for k in shown], "t string").select("t", scans.number_of(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == shown

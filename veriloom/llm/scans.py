@@ -20,14 +20,16 @@ from veriloom.session import materialize, spread
 HYPHENS = "-" + chr(0x2010) + chr(0x2011) + chr(0xAD) + chr(0xAC)
 #: A form corrects another one when it is this many times as frequent and occurs at least FREQUENT times.
 DOMINANCE, FREQUENT = 8, 4
-#: Lines from the top and the bottom of a page where page numbers stand.
+#: Lines from the top and the bottom of a page where a page number needs no support of its neighbours or its file.
 EDGE = 3
 _WORD = r"[\p{L}\p{M}0-9@|]+"
 _BLANK = "[" + V.SPACE_CHARS + "]"
 _LABEL = r"(?:page|seite|página|pagina|pág\.?|pag\.?|p\.?|s\.?)"
 _PAGE_NUMBER = (
-    r"(?iu)^(?=.*[0-9])[\[(—–\-]?\s*" + _LABEL + r"?\s*(?:[0-9lOoIS]{1,4})(?:\s*(?:of|de|sur|von|/)\s*[0-9lOoIS]{1,4})?\s*[\])—–\-]?$"
+    r"(?iu)^(?=.*[0-9])[\[(—–\-]?\s*" + _LABEL + r"?\s*([0-9lOoIS]{1,4})(?:\s*(?:of|de|sur|von|/)\s*[0-9lOoIS]{1,4})?\s*[\])—–\-]?$"
 )
+_NUMERAL = r"(?iu)^[ivxl]{1,6}$"
+_ROMAN = {"x" * (n // 10) + ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][n % 10]: n for n in range(1, 40)}
 
 
 def skeleton(word: Column) -> Column:
@@ -62,6 +64,33 @@ def _but_one(key: Column) -> Column:
     return F.explode(F.when(F.size(w).between(2, 10), open_at).otherwise(F.array().cast("array<string>")))
 
 
+def number_of(line: Column) -> Column:
+    """The number a page-number line shows, in digits or Roman (an i may have been read as l), else null."""
+    digits = F.translate(F.regexp_extract(line, _PAGE_NUMBER, 1), "lLiIoOsS", "11110055")
+    roman = F.create_map(*(F.lit(x) for pair in _ROMAN.items() for x in pair))
+    return F.coalesce(F.when(line.rlike(_PAGE_NUMBER), digits.cast("int")), F.when(line.rlike(_NUMERAL), roman[F.translate(F.lower(line), "l", "i")]))
+
+
+def inner_numbers(solid: DataFrame, found: DataFrame) -> DataFrame:
+    """Page numbers away from the edges of a page (seg_id, line_no), as they stand below a running header inside it.
+
+    A number fits where it is the page's own or continues the numbers that stand at the edges of
+    its file.  Beside a line that is ``found`` to be furniture it must fit or be labelled; elsewhere it must fit, and the page have
+    no other number that does.
+    """
+    numbers = solid.filter("numeral").withColumn("shift", number_of(F.trim("line")) - F.col("page_number"))
+    shifts = numbers.filter(F.col("edge") & F.col("shift").isNotNull()).groupBy("document", "shift").agg(F.count_distinct("seg_id").alias("on"))
+    shifts = shifts.groupBy("document").agg(F.max_by("shift", "on").alias("usual"), F.max("on").alias("on")).filter("on >= 2").select("document", "usual")
+    fits = F.coalesce((F.col("shift") == 0) | (F.col("shift") == F.col("usual")), F.lit(False))
+    numbers = numbers.join(shifts, "document", "left").withColumn("fits", fits)
+    numbered = numbers.filter(F.col("edge") & F.col("fits")).select("seg_id").distinct().withColumn("numbered", F.lit(True))
+    inner = numbers.filter(~F.col("edge")).withColumn("at", F.explode(F.array("before", "after")))
+    beside = inner.join(found.select("seg_id", F.col("line_no").alias("at")), ["seg_id", "at"], "left_semi").select("seg_id", "line_no").distinct().withColumn("beside", F.lit(True))
+    inner = numbers.filter(~F.col("edge")).join(beside, ["seg_id", "line_no"], "left").join(numbered, "seg_id", "left")
+    labelled = ~F.trim("line").rlike(r"^[\p{L}0-9]{1,6}$")
+    return inner.filter(F.col("beside").isNotNull() & (F.col("fits") | labelled) | F.col("fits") & F.col("numbered").isNull()).select("seg_id", "line_no")
+
+
 def furniture(lines: DataFrame) -> DataFrame:
     """The lines (seg_id, line_no) that belong to the page: repeated headers and footers, page numbers, scanner marks."""
     solid = lines.filter(F.col("line").rlike(r"\S"))
@@ -70,7 +99,12 @@ def furniture(lines: DataFrame) -> DataFrame:
     solid = solid.withColumn("from_top", F.row_number().over(top)).withColumn("from_bottom", F.row_number().over(bottom))
     solid = solid.withColumn("key", line_key(F.col("line")))
     edge = (F.col("from_top") <= EDGE) | (F.col("from_bottom") <= EDGE)
-    solid = materialize(solid.withColumn("edge", edge).select("seg_id", "document", "page_number", "line_no", "line", "key", "edge", "from_top", "from_bottom"), "scan_lines")
+    line = F.trim("line")
+    solid = solid.withColumn("edge", edge).withColumn("numeral", line.rlike(_PAGE_NUMBER) | line.rlike(_NUMERAL))
+    solid = solid.withColumn("before", F.lag("line_no").over(top)).withColumn("after", F.lead("line_no").over(top))
+    solid = materialize(
+        solid.select("seg_id", "document", "page_number", "line_no", "line", "key", "edge", "from_top", "from_bottom", "numeral", "before", "after"), "scan_lines"
+    )
     pages = lines.groupBy("document").agg(F.count_distinct("seg_id").alias("pages"))
     repeats = (
         solid.filter(F.col("edge") & F.col("key").rlike(r"\p{L}{2,}"))
@@ -101,12 +135,12 @@ def furniture(lines: DataFrame) -> DataFrame:
     single = solid.filter(F.col("edge") & (F.length("line") <= 90) & ~sentence).select("seg_id", "line_no", _but_one(F.col("key")).alias("fit"))
     single = single.join(fitting, "fit", "left_semi")
     marks = solid.join(spread_of.filter("mark").select("key"), "key", "left_semi")
-    line = F.trim("line")
-    numeral = line.rlike(_PAGE_NUMBER) | (line.rlike(r"(?iu)^[ivxl]{1,6}$"))
-    numbers = solid.filter(F.col("edge") & numeral)
+    numbers = solid.filter(F.col("edge") & F.col("numeral"))
     specks = solid.filter(~F.col("line").rlike(r"[\p{L}\p{N}]"))
     cols = ["seg_id", "line_no"]
-    return by_file.select(cols).union(single.select(cols)).union(marks.select(cols)).union(numbers.select(cols)).union(specks.select(cols)).distinct()
+    found = by_file.select(cols).union(single.select(cols)).union(marks.select(cols)).union(numbers.select(cols)).union(specks.select(cols)).distinct()
+    found = materialize(found, "scan_found")
+    return found.union(inner_numbers(solid, found)).distinct()
 
 
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
