@@ -90,6 +90,14 @@ def test_packing_blocks():
     assert all(demand[out == c, 0].sum() <= 400 for c in set(out)) and (out >= 0).all()
 
 
+def test_packing_score():
+    limit = np.array([100.0, 10, 100])
+    # The container with more room has the larger dot product.
+    assert packing.pack_block(np.array([[60.0, 1, 60], [55, 1, 55], [10, 1, 10]]), limit).tolist() == [0, 1, 1]
+    # Equal dot products: the one with less room for tokens.
+    assert packing.pack_block(np.array([[50.0, 2, 50], [60, 1, 60], [10, 2, 10]]), limit).tolist() == [1, 0, 0]
+
+
 def test_flight_keeps_balance():
     rng = np.random.default_rng(0)
     p, t = rng.random(500), rng.integers(1, 100, 500).astype(float)

@@ -39,9 +39,9 @@ def pack_block(demand: np.ndarray, limit: np.ndarray, open_most: int = OPEN) ->
             r = room[:used]
             fits = (r >= d - 1e-9).all(1)
             if fits.any():
-                # Dot product of demand and room; among equals the container with least slack.
-                score = np.where(fits, r @ d - r[:, 0] * 1.5, -np.inf)
-                j = int(np.argmax(score))
+                # Largest dot product of demand and room; among equals the container with least slack.
+                score = np.where(fits, r @ d, -np.inf)
+                j = int(np.argmin(np.where(score >= score.max() - 1e-9, r[:, 0], np.inf)))
                 room[j] -= d
                 out[i] = name[j]
                 continue
