@@ -128,3 +128,10 @@ def test_number_of(spark):
     shown = {"Page l of 4": 1, "S. 12": 12, "— 3 —": 3, "xiv": 14, "lll": 3, "1O": 10, "vx": None, "2024-05": None}
     df = spark.createDataFrame([(k,) for k in shown], "t string").select("t", scans.number_of(F.col("t")).alias("n"))
     assert {r.t: r.n for r in df.collect()} == shown
+
+
+def test_compounds_of_other_pages(spark):
+    scanned = spark.createDataFrame([(1, "a.pdf", 1, "it was a cross-\nborder case\nand mea-\nsured twice")], "seg_id long, document string, page_number int, text string")
+    clean = spark.createDataFrame([("a cross-border case, measured in a crossborder way",), ("a cross-border case",)], "text string")
+    scan = scans.Scan(scanned, scanned.select("text").union(clean), spark.createDataFrame([], "w string"))
+    assert [(r.line_no, r.a, r.b) for r in scan.divided.collect()] == [(2, "mea", "sured")]

@@ -9,7 +9,7 @@ counts over the whole corpus; windows over the lines reflow the paragraphs.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from veriloom.functions import vocab as V
 from veriloom.session import materialize, spread
 
+#: Hyphens of compounds written inside a line.
+INNER_HYPHENS = "-" + chr(0x2010) + chr(0x2011)
 HYPHENS = "-" + chr(0x2010) + chr(0x2011) + chr(0xAD) + chr(0xAC)
 #: A form corrects another one when it is this many times as frequent and occurs at least FREQUENT times.
 DOMINANCE, FREQUENT = 8, 4
 #: Lines from the top and the bottom of a page where a page number needs no support of its neighbours or its file.
 EDGE = 3
 _WORD = r"[\p{L}\p{M}0-9@|]+"
+_INNER = "\\" + INNER_HYPHENS
 _BLANK = "[" + V.SPACE_CHARS + "]"
 _LABEL = r"(?:page|seite|página|pagina|pág\.?|pag\.?|p\.?|s\.?)"
 _PAGE_NUMBER = (
@@ -144,12 +147,14 @@ def furniture(lines: DataFrame) -> DataFrame:
 
 
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
-    """word (as written), next (lower-case word that only a blank separates from it, else null), n: one pass over the corpus."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}0-9@|]+(?: (?=[\p{L}0-9]))?"), F.lit(0))
+    """word (as written), next (lower-case word that only a blank or a hyphen separates from it, else null), hyphen (whether it is a hyphen), n: one pass over the corpus."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}0-9@|]+(?:[ " + _INNER + r"](?=[\p{L}0-9]))?"), F.lit(0))
     rows = texts.select(tokens.alias("t")).filter(F.size("t") > 0)
     rows = rows.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p"))
-    ahead = F.when(F.endswith("p.a", F.lit(" ")), F.lower(F.rtrim("p.b")))
-    return rows.groupBy(F.rtrim("p.a").alias("word"), ahead.alias("next")).agg(F.count("*").alias("n"))
+    ends = lambda c: reduce(Column.__or__, (F.endswith(c, F.lit(h)) for h in INNER_HYPHENS))
+    bare = lambda c: F.when(ends(c), F.translate(c, INNER_HYPHENS, "")).otherwise(F.rtrim(c))
+    ahead = F.when(F.endswith("p.a", F.lit(" ")) | ends("p.a"), F.lower(bare("p.b")))
+    return rows.groupBy(bare("p.a").alias("word"), ahead.alias("next"), ends("p.a").alias("hyphen")).agg(F.count("*").alias("n"))
 
 
 def word_counts(counted: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def word_counts(counted: DataFrame) -> DataFrame:
 
 def pair_counts(counted: DataFrame) -> DataFrame:
     """a, b, n, n_low: neighbouring lower-case words that only a blank separates, how often, and how often the first is written in lower case."""
-    return counted.filter("next is not null").groupBy(F.lower("word").alias("a"), F.col("next").alias("b")).agg(
+    return counted.filter("next is not null and not hyphen").groupBy(F.lower("word").alias("a"), F.col("next").alias("b")).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("n_low")
     )
 
@@ -221,6 +226,7 @@ class Scan:
         self.furniture = materialize(furniture(self.lines), "scan_furniture")
         corpus = spread(corpus.filter(F.col("text").isNotNull()).select("text"))
         counted = materialize(token_counts(corpus, "text"), "scan_counts")
+        self.counted = counted
         self.words = materialize(word_counts(counted), "scan_words")
         self.pairs = materialize(pair_counts(counted), "scan_pairs")
         self.names = materialize(names.select("w").distinct(), "scan_names")
@@ -257,10 +263,10 @@ class Scan:
         return kept.filter((n_whole > n_comp) | (n_comp == 0)).select("seg_id", "line_no", "a", "b")
 
     def compounds(self) -> DataFrame:
-        """ca, cb, n_compound: words written with a hyphen inside a line, over all scanned pages and the corpus statistics."""
-        inner = F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{M}]+[-" + chr(0x2010) + chr(0x2011) + r"][\p{L}\p{M}]+"), F.lit(0))
-        parts = self.body.select(F.explode(inner).alias("c")).select(F.split("c", f"[{HYPHENS}]").alias("p"))
-        return parts.groupBy(F.col("p")[0].alias("ca"), F.col("p")[1].alias("cb")).agg(F.count("*").alias("n_compound"))
+        """ca, cb, n_compound: words written with a hyphen inside a line, over all pages, as the words they are weighed against."""
+        letters = r"^[\p{L}\p{M}]+$"
+        parts = self.counted.filter("hyphen and next is not null").filter(F.col("word").rlike(letters) & F.col("next").rlike(letters))
+        return parts.groupBy(F.lower("word").alias("ca"), F.col("next").alias("cb")).agg(F.sum("n").alias("n_compound"))
 
     def repairs(self) -> DataFrame:
         """seg_id, line_no, wrong, right: misrecognised, wrongly split and run-together ordinary words."""
