@@ -90,6 +90,17 @@ def test_packing_blocks():
     assert all(demand[out == c, 0].sum() <= 400 for c in set(out)) and (out >= 0).all()
 
 
+def test_packing_again_per_kind(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    rows = [(i, 51 + i % 10) for i in range(400)]
+    alone = packed(spark, rows, [("large", 1000)])
+    both = packed(spark, rows, [("large", 1000), ("small", 100)])
+    used = [len({r.container for r in out if r.kind == "large"}) for out in (alone, both)]
+    # No two of the items fit a small container, which must not keep the large ones from being packed again.
+    assert used[1] == used[0] <= 24 and sorted(r.item for r in both if r.kind == "large") == list(range(400))
+    assert len({r.container for r in both if r.kind == "small"}) == 400
+
+
 def test_packing_score():
     limit = np.array([100.0, 10, 100])
     # The container with more room has the larger dot product.

@@ -5,7 +5,7 @@ container the same vector of limits.  Within a block the open container whose
 remaining room points most in the direction of an item (the largest dot
 product) takes it.  Blocks are packed in parallel; the badly filled
 containers of all blocks are emptied and packed again in fewer blocks, until
-what is left is one small block.
+what is left is one small block.  Every kind of container is packed again on its own account.
 """
 
 from __future__ import annotations
@@ -68,6 +68,10 @@ def _packer(limits: dict[str, tuple[int, int, int]]):
     return run
 
 
+def _per_kind(rows: DataFrame) -> dict[str, int]:
+    return {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+
+
 def pack(
     items: DataFrame, item: str, tokens: str, loss: Column | None, kinds: list[tuple[str, int]], tokens_per_segment: int = 16, loss_share: float = 1.0, well_filled: float = 0.97
 ) -> DataFrame:
@@ -96,28 +100,33 @@ def pack(
         "kind", "item", "part", size.alias("tokens"), F.least(F.ceil(F.col("l") * size / F.col("n")), F.col("lcap")).cast("long").alias("loss")
     )
     left = materialize(rows, "pack_items")
-    n = left.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    n = _per_kind(left)
     done: list[DataFrame] = []
     level = 0
     while n:
-        blocks = max(1, -(-n // BLOCK))
-        placed = left.withColumn("block", F.pmod(F.xxhash64("item", "part", F.lit(level)), F.lit(blocks)).cast("int"))
+        blocks = {k: max(1, -(-c // BLOCK)) for k, c in n.items()}
+        of_kind = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
+        placed = left.withColumn("block", F.pmod(F.xxhash64("item", "part", F.lit(level)), of_kind[F.col("kind")]).cast("int"))
         placed = materialize(placed.groupBy("kind", "block").applyInPandas(_packer(limits), schema), "pack_level")
         label = F.concat_ws("-", "kind", F.lit(str(level)), "block", "local")
-        if blocks == 1:
-            done.append(placed.select("kind", "item", "part", "tokens", label.alias("container")))
-            break
+        several = F.col("kind").isin([k for k, b in blocks.items() if b > 1])
         filled = placed.groupBy("kind", "block", "local").agg(F.sum("tokens").alias("full"))
         cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))
         good = filled.filter(F.col("full") >= F.lit(well_filled) * cap[F.col("kind")]).select("kind", "block", "local")
-        done.append(placed.join(good, ["kind", "block", "local"], "left_semi").select("kind", "item", "part", "tokens", label.alias("container")))
-        rest = materialize(placed.join(good, ["kind", "block", "local"], "left_anti").select("kind", "item", "part", "tokens", "loss"), "pack_rest")
-        m = rest.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-        level += 1
-        if m > 0.8 * n:  # packing again would not fill them better
-            done.append(placed.join(good, ["kind", "block", "local"], "left_anti").select("kind", "item", "part", "tokens", label.alias("container")))
+        if max(blocks.values()) > 1:
+            rest = materialize(placed.filter(several).join(good, ["kind", "block", "local"], "left_anti").select("kind", "item", "part", "tokens", "loss"), "pack_rest")
+            m = _per_kind(rest)
+        else:
+            m = {}
+        again = [k for k in m if m[k] <= 0.8 * n[k]]  # the others would not be filled better
+        whole = placed.filter(~F.col("kind").isin(again))
+        done.append(whole.select("kind", "item", "part", "tokens", label.alias("container")))
+        if not again:
             break
-        left, n = rest, m
+        kept = placed.filter(F.col("kind").isin(again)).join(good, ["kind", "block", "local"], "left_semi")
+        done.append(kept.select("kind", "item", "part", "tokens", label.alias("container")))
+        left, n = rest.filter(F.col("kind").isin(again)), {k: m[k] for k in again}
+        level += 1
     if not done:
         return spark.createDataFrame([], "kind string, item long, part int, tokens long, container string")
     out = done[0]
