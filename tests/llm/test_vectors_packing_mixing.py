@@ -173,3 +173,13 @@ def levenshtein(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def test_swap_across_segments(spark):
+    """Two edits, one of them a swap across the end of a segment: no segment of the two spellings need be equal."""
+    cores = ["kestrovanlim", "kesrtovanlim", "kesrtovanlym", "kysrtovanlim", "kestrovalnim", "kystrovalnim", "kestrovnalim", "kestovranlim"]
+    rows = [(str(i), "P", "j", c, "john", "") for i, c in enumerate(cores)]
+    names = spark.createDataFrame(rows, "id string, sort string, block string, core string, given string, middle string")
+    got = {(r.id_a, r.id_b) for r in variants.near_readings(names).collect()}
+    want = {(str(i), str(j)) for i in range(len(cores)) for j in range(i + 1, len(cores)) if variants.edits(cores[i], cores[j], 2) <= 2}
+    assert got == want
