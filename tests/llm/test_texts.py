@@ -135,3 +135,10 @@ def test_compounds_of_other_pages(spark):
     clean = spark.createDataFrame([("a cross-border case, measured in a crossborder way",), ("a cross-border case",)], "text string")
     scan = scans.Scan(scanned, scanned.select("text").union(clean), spark.createDataFrame([], "w string"))
     assert [(r.line_no, r.a, r.b) for r in scan.divided.collect()] == [(2, "mea", "sured")]
+
+
+def test_long_quotations(spark):
+    told = "We found it. " * 60
+    texts = [f"“{told}It was late,” Ann told Bob. Yes.", f"„{told}Es war spät“, sagte er. Ja.", f"“Open. {told}Nobody closed it."]
+    got = units(spark, *texts)
+    assert got[0] == [texts[0][:-5], "Yes."] and got[1] == [texts[1][:-4], "Ja."] and len(got[2]) == 62

@@ -38,7 +38,7 @@ CUT_GIVEN = sorted({e.partition(":")[0][:3].title() for e in GIVEN_NAMES})
 
 _WS = "[" + V.SPACE_CHARS + "]"
 _NOT_IN_WORD = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}\p{N}])"
-#: Longest quotation inside which terminators are looked through, in characters.
+#: How far a closing mark is looked for from each terminator, in characters; longer quotations are paired by their marks.
 QUOTE_REACH = 300
 
 
@@ -55,6 +55,20 @@ def _where(t: Column, opening: str, closing: str, pattern: str) -> Column:
     return F.transform(F.array(t), lambda x: F.when(both(x), F.regexp_replace(x, pattern, DOT)).otherwise(x))[0]
 
 
+def _mask_long(t: Column, opening: str, closing: str, others: str) -> Column:
+    """Mask the terminators of quotations longer than QUOTE_REACH: what an opening mark and the next mark, a closing one, enclose."""
+    def inside(piece: Column) -> Column:
+        q = F.regexp_extract(piece, f"^[^{others}]{{{QUOTE_REACH},}}+(?={closing})", 0)
+        masked = F.regexp_replace(q, r"[.!?。！？।؟](?=[^\p{L}]{0,20}+\p{L})", DOT)
+        return F.concat(masked, F.substr(piece, F.length(q) + 1))
+
+    def paired(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, opening), lambda p, i: F.when(i > 0, inside(p)).otherwise(p)), opening)
+
+    long = f"{opening}[^{others}]{{{QUOTE_REACH},}}+{closing}"
+    return F.transform(F.array(t), lambda x: F.when(x.rlike(long), paired(x)).otherwise(x))[0]
+
+
 def mask(text: Column) -> Column:
     """The text with every mark that ends no sentence replaced by a placeholder of the same length."""
     sub = F.regexp_replace
@@ -93,7 +107,7 @@ def mask(text: Column) -> Column:
         ahead = f"(?=[^{others}\\p{{L}}]{{0,20}}+\\p{{L}}[^{others}]{{0,{QUOTE_REACH}}}+{closing})"
         back = f"(?<=„[^„“”]{{0,{QUOTE_REACH}}}.)" if opening == "„" else ""
         inner = "[.!?。！？।؟]" + ahead + back
-        t = _where(t, opening, closing, inner)
+        t = _mask_long(_where(t, opening, closing, inner), opening, closing, others)
     return t
 
 
