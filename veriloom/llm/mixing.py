@@ -23,9 +23,20 @@ BLOCK = 5_000
 EPS = 1e-9
 
 
+def null_vector(b: np.ndarray) -> np.ndarray:
+    """A vector u of norm 1 with b @ u = 0, for a matrix of one column more than it has rows."""
+    if b.shape == (2, 3):  # the usual case, documents and tokens: the cross product of both rows
+        (a0, a1, a2), (b0, b1, b2) = b.tolist()
+        u = np.array((a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0))
+        size = float(np.abs(u).max())
+        if size > 1e-12:
+            return u / size
+    return np.linalg.svd(b)[2][-1]
+
+
 def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
     """Move ``p`` within [0, 1] along the null space of the constraints x.T @ p until at most x.shape[1] stay fractional."""
-    rng = np.random.default_rng(seed)
+    draw = np.random.default_rng(seed)
     p = p.copy()
     a = x.T.astype(float)
     m = a.shape[0]
@@ -33,20 +44,20 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
     hand, rest = open_[: m + 1], open_[m + 1 :]
     rest.reverse()
     while len(hand) > m:
-        b = a[:, hand]
-        # A null vector of the small matrix (m rows, m + 1 columns).
-        u = np.linalg.svd(b)[2][-1]
-        u[np.abs(u) < 1e-14] = 0
-        q = p[hand]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.min(np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)))
-            down = np.min(np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)))
-        if not np.isfinite(up) or not np.isfinite(down):
+        u = null_vector(a[:, hand]).tolist()
+        q = p[hand].tolist()
+        up = down = float("inf")
+        for v, w in zip(u, q):
+            if v > 1e-14:
+                up, down = min(up, (1 - w) / v), min(down, w / v)
+            elif v < -1e-14:
+                up, down = min(up, -w / v), min(down, (w - 1) / v)
+        if up == float("inf"):
             break
-        q = q + (up if rng.random() < down / (up + down) else -down) * u
-        q[q < EPS] = 0.0
-        q[q > 1 - EPS] = 1.0
-        p[hand] = q
+        step = up if draw.random() < down / (up + down) else -down
+        for i, v, w in zip(hand, u, q):
+            w = w + step * v if abs(v) > 1e-14 else w
+            p[i] = 0.0 if w < EPS else 1.0 if w > 1 - EPS else w
         hand = [i for i in hand if EPS < p[i] < 1 - EPS]
         while len(hand) <= m and rest:
             hand.append(rest.pop())
@@ -54,16 +65,25 @@ def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(p: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Round the last few fractions, then exchange single texts while the token total of ``start`` comes closer."""
+    """Round the last few fractions, then exchange single texts and pairs of texts while the token total of ``start`` comes closer."""
     goal = float((start * tokens).sum())
     out = (p >= 0.5).astype(float)
     for _ in range(12):
         off = goal - float((out * tokens).sum())
         step = np.where(out > 0.5, -tokens, tokens)
         i = int(np.argmin(np.abs(off - step)))
-        if abs(off - step[i]) >= abs(off) - EPS:
+        change, best = [i], abs(off - step[i])
+        order = np.argsort(step, kind="stable")
+        ranked = step[order]
+        for shift in (-1, 0):  # the two partners nearest to what a text leaves open
+            k = np.clip(np.searchsorted(ranked, off - ranked) + shift, 0, len(ranked) - 1)
+            gap = np.where(k == np.arange(len(ranked)), np.inf, np.abs(off - ranked - ranked[k]))
+            j = int(np.argmin(gap))
+            if gap[j] < best - EPS:
+                change, best = [int(order[j]), int(order[k[j]])], float(gap[j])
+        if best >= abs(off) - EPS:
             break
-        out[i] = 1.0 - out[i]
+        out[change] = 1.0 - out[change]
     return out
 
 
@@ -110,10 +130,13 @@ def mix(docs: DataFrame, item: str, source: str, tokens: str, targets: DataFrame
     loose = materialize(rows.filter(F.col("p") > EPS), "mix_open")
     settled = [fixed.select("source", "item", "tokens", F.col("whole").alias("uses"))]
     n = loose.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     level = 0
     while n:
         blocks = max(1, -(-n // BLOCK))
         placed = loose.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)).cast("int"))
+        # A named number of tasks, or small tables would fly in one.
+        placed = placed.repartition(min(tasks, 8 * blocks), "source", "block")
         flown = materialize(placed.groupBy("source", "block").applyInPandas(_fly(blocks == 1), schema), "mix_flight")
         closed = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
         settled.append(flown.filter(closed).select("source", "item", "tokens", (F.col("whole") + F.round("p").cast("int")).alias("uses")))
