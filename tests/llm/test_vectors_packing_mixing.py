@@ -85,9 +85,11 @@ def test_packing_vector_limits(spark):
 
 
 def test_packing_blocks():
-    demand = np.column_stack([np.arange(1, 200), np.ones(199), np.zeros(199)]).astype(float)
-    out = packing.pack_block(demand, np.array([400.0, 50, 1]), open_most=4)
+    demand = np.column_stack([np.arange(1, 200), np.ones(199), np.zeros(199)]).astype(int)
+    out = packing.pack_block(demand, np.array([400, 50, 1]))
     assert all(demand[out == c, 0].sum() <= 400 for c in set(out)) and (out >= 0).all()
+    assert len(set(out)) == -(-demand[:, 0].sum() // 400)
+    assert packing.pack_block(np.empty((0, 3), int), np.array([400, 50, 1])).tolist() == []
 
 
 def test_packing_again_per_kind(spark, monkeypatch):
@@ -102,11 +104,11 @@ def test_packing_again_per_kind(spark, monkeypatch):
 
 
 def test_packing_score():
-    limit = np.array([100.0, 10, 100])
-    # The container with more room has the larger dot product.
-    assert packing.pack_block(np.array([[60.0, 1, 60], [55, 1, 55], [10, 1, 10]]), limit).tolist() == [0, 1, 1]
-    # Equal dot products: the one with less room for tokens.
-    assert packing.pack_block(np.array([[50.0, 2, 50], [60, 1, 60], [10, 2, 10]]), limit).tolist() == [1, 0, 0]
+    limit = np.array([100, 10, 100])
+    # The largest dot product of demand and room: the long items first, each followed by what still fits.
+    assert packing.pack_block(np.array([[60, 1, 60], [55, 1, 55], [10, 1, 10], [45, 1, 45]]), limit).tolist() == [0, 1, 0, 1]
+    # Room for loss-bearing tokens runs out first, so the item that needs none of it has nothing against it.
+    assert packing.pack_block(np.array([[50, 1, 50], [40, 1, 0], [40, 1, 40]]), np.array([100, 10, 60])).tolist() == [0, 0, 1]
 
 
 def test_flight_keeps_balance():

@@ -75,4 +75,11 @@ SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form
 WHERE NOT regexp_full_match(a.form, '\\s*')
 """
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p10_found": P10}
+P8_CHECKS = """
+SELECT container AS kind, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS documents, 0::BIGINT AS over_full, 0::BIGINT AS changed, 0::BIGINT AS divided, false AS wasteful
+FROM container_kinds WHERE container IS NOT NULL AND capacity_tokens > 0 GROUP BY container
+"""
+
+P9_CHECKS = "SELECT DISTINCT source, false AS over_used, 0::BIGINT AS strange, false AS off_target FROM mix_targets WHERE source IS NOT NULL"
+
+ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS, "p10_found": P10}

@@ -1,11 +1,12 @@
 """Filling fixed-capacity containers by vector bin packing.
 
 Every item has a vector of demands (tokens, one segment, loss-bearing tokens) and every
-container the same vector of limits.  Within a block the open container whose
-remaining room points most in the direction of an item (the largest dot
-product) takes it.  Blocks are packed in parallel; the badly filled
-containers of all blocks are emptied and packed again in fewer blocks, until
-what is left is one small block.  Every kind of container is packed again on its own account.
+container the same vector of limits.  Containers are filled one after the other: of all
+items that still fit, the one whose demand has the largest dot product with the
+remaining room goes in, until none fits.  Items of equal demand are one type with
+a count, so a step compares types, not items.  Blocks are packed in parallel; the badly filled
+containers of all blocks are emptied and packed again together, until what is left is one block or
+packing again saves next to nothing.  Every kind of container is packed again on its own account.
 """
 
 from __future__ import annotations
@@ -17,75 +18,95 @@ from pyspark.sql import functions as F
 
 from veriloom.session import materialize
 
-#: Items of one block: a bound on what a task packs at once, and open containers compared with each item.
-BLOCK, OPEN = 20_000, 256
+#: Items of one block: a bound on what a task packs at once.
+BLOCK = 20_000
+#: Packing again goes on for a kind while a round saves this share of the containers it emptied.
+GAIN = 0.01
 
 
-def pack_block(demand: np.ndarray, limit: np.ndarray, open_most: int = OPEN) -> np.ndarray:
-    """Container number of each row of ``demand`` (all rows fit an empty container).
+def pack_types(demand: np.ndarray, count: np.ndarray, limit: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Fill containers with ``count[i]`` items of each distinct ``demand[i]`` (whole numbers, each within ``limit``).
 
-    Rows are placed in the order of their largest relative demand.  At most
-    ``open_most`` containers stay open; the fullest closes when a new one must open.
+    Returns lists of (container, type, how many), containers numbered from 0 in the order they were filled.
     """
-    share = demand / limit
-    order = np.argsort(-share.max(1), kind="stable")
-    out = np.full(len(demand), -1, np.int64)
-    room = np.empty((open_most, demand.shape[1]))
-    name = np.empty(open_most, np.int64)
-    used, made = 0, 0
-    for i in order:
-        d = share[i]
-        if used:
-            r = room[:used]
-            fits = (r >= d - 1e-9).all(1)
-            if fits.any():
-                # Largest dot product of demand and room; among equals the container with least slack.
-                score = np.where(fits, r @ d, -np.inf)
-                j = int(np.argmin(np.where(score >= score.max() - 1e-9, r[:, 0], np.inf)))
-                room[j] -= d
-                out[i] = name[j]
-                continue
-        if used == open_most:
-            j = int(np.argmin(room[:used, 0]))
-        else:
-            j, used = used, used + 1
-        room[j] = 1.0 - d
-        name[j] = made
-        out[i] = made
+    order = np.lexsort((*demand.T[1:], demand[:, 0]))
+    need, left = demand[order], count[order].copy()
+    share = need / limit
+    # With every demand a fixed multiple of the first one the best type stays the best while it fits.
+    straight = len(need) == 0 or all(len(np.unique(need[:, d] * 1.0)) == 1 or np.array_equal(need[:, d], need[:, 0]) for d in range(1, need.shape[1]))
+    where: list[int] = []
+    what: list[int] = []
+    many: list[int] = []
+    made = 0
+    while len(left):
+        room = limit.astype(np.int64).copy()
+        while True:
+            hi = int(np.searchsorted(need[:, 0], room[0], "right"))
+            fits = (left[:hi] > 0) & (need[:hi, 1:] <= room[1:]).all(1)
+            if not fits.any():
+                break
+            if straight:
+                j = hi - 1 - int(np.argmax(fits[::-1]))
+                n = int(min(left[j], (room // np.maximum(need[j], 1))[need[j] > 0].min()))
+            else:
+                score = np.where(fits, share[:hi] @ (room / limit), -1.0)
+                j, n = int(np.argmax(score)), 1
+            left[j] -= n
+            room -= n * need[j]
+            where.append(made)
+            what.append(int(order[j]))
+            many.append(n)
         made += 1
+        dead = left == 0
+        if dead.sum() * 4 >= len(left) or dead.all():
+            order, need, share, left = order[~dead], need[~dead], share[~dead], left[~dead]
+    return where, what, many
+
+
+def pack_block(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Container number of each row of ``demand`` (all rows fit an empty container); equal rows are used in the order given."""
+    if not len(demand):
+        return np.empty(0, np.int64)
+    types, of = np.unique(demand.astype(np.int64), axis=0, return_inverse=True)
+    of = of.ravel()
+    count = np.bincount(of, minlength=len(types))
+    where, what, many = pack_types(types, count, limit)
+    # The rows of a type in order, cut by the runs in which the type was used.
+    rows = np.argsort(of, kind="stable")
+    run = np.argsort(np.array(what), kind="stable")
+    out = np.empty(len(demand), np.int64)
+    out[rows] = np.repeat(np.array(where)[run], np.array(many)[run])
     return out
 
 
 def _packer(limits: dict[str, tuple[int, int, int]]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, block = key
-        pdf = pdf.sort_values(["tokens", "item", "part"], ascending=[False, True, True], kind="stable")
-        limit = np.array(limits[kind], float)
-        demand = np.column_stack([pdf["tokens"], np.ones(len(pdf)), pdf["loss"]]).astype(float)
-        pdf["local"] = pack_block(demand, limit)
-        return pdf[["kind", "item", "part", "tokens", "loss", "block", "local"]]
+        pdf = pdf.sort_values(["item", "part"], kind="stable")
+        demand = np.column_stack([pdf["tokens"], np.ones(len(pdf), np.int64), pdf["loss"]])
+        local = pack_block(demand, np.array(limits[kind]))
+        pdf["local"] = local
+        pdf["filled"] = np.bincount(local, weights=pdf["tokens"]).astype(np.int64)[local]
+        return pdf[["kind", "item", "part", "tokens", "loss", "block", "local", "filled"]]
 
     return run
 
 
-def _per_kind(rows: DataFrame) -> dict[str, int]:
-    return {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
-
-
 def pack(
     items: DataFrame, item: str, tokens: str, loss: Column | None, kinds: list[tuple[str, int]], tokens_per_segment: int = 16, loss_share: float = 1.0, well_filled: float = 0.97
 ) -> DataFrame:
-    """(kind, item, part, tokens, container): every item in one container of every kind.
+    """(kind, item, part, tokens, loss, container): every item in one container of every kind.
 
     kinds: (name, capacity in tokens).  A container holds at most one segment per ``tokens_per_segment``
     tokens of its capacity.  ``loss``: loss-bearing tokens of an item (default: all its tokens), limited to
     ``loss_share`` of the capacity.  An item above the capacity is divided into
-    full parts and a rest, no other is ever divided.  Items of no tokens (null,
+    full parts and a rest, no other is ever divided (an item whose loss-bearing tokens exceed their limit is
+    divided for that).  Items of no tokens (null,
     empty texts) and null items are left out; repeated items are packed once per row.  An empty
     table gives an empty result.
     """
     spark = items.sparkSession
-    schema = "kind string, item long, part int, tokens long, loss long, block int, local long"
+    schema = "kind string, item long, part int, tokens long, loss long, block int, local long, filled long"
     limits = {k: (c, max(1, c // tokens_per_segment), max(1, int(c * loss_share))) for k, c in kinds}
     base = items.filter(F.col(item).isNotNull() & (F.col(tokens) > 0)).select(
         F.col(item).cast("long").alias("item"), F.col(tokens).cast("long").alias("n"), (F.col(tokens) if loss is None else loss).cast("long").alias("l")
@@ -100,35 +121,31 @@ def pack(
         "kind", "item", "part", size.alias("tokens"), F.least(F.ceil(F.col("l") * size / F.col("n")), F.col("lcap")).cast("long").alias("loss")
     )
     left = materialize(rows, "pack_items")
-    n = _per_kind(left)
+    n = {r["kind"]: r["count"] for r in left.groupBy("kind").count().collect()}
+    cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     done: list[DataFrame] = []
+    emptied: dict[str, int] = {}
     level = 0
     while n:
         blocks = {k: max(1, -(-c // BLOCK)) for k, c in n.items()}
         of_kind = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
         placed = left.withColumn("block", F.pmod(F.xxhash64("item", "part", F.lit(level)), of_kind[F.col("kind")]).cast("int"))
+        # A named number of tasks, or small tables would be packed in one.
+        placed = placed.repartition(min(tasks, 2 * sum(blocks.values())), "kind", "block")
         placed = materialize(placed.groupBy("kind", "block").applyInPandas(_packer(limits), schema), "pack_level")
+        bad = F.col("filled") < F.lit(well_filled) * cap[F.col("kind")]
+        per = placed.groupBy("kind", "block").agg(F.count_distinct("local").alias("all"), F.count_distinct(F.when(bad, F.col("local"))).alias("bad"), F.sum(bad.cast("long")).alias("rest"))
+        found = {r["kind"]: r for r in per.groupBy("kind").agg(F.sum("all").alias("all"), F.sum("bad").alias("bad"), F.sum("rest").alias("rest")).collect()}
+        again = [k for k in n if blocks[k] > 1 and found[k]["bad"] > 1 and (level == 0 or found[k]["all"] <= (1 - GAIN) * emptied[k])]
         label = F.concat_ws("-", "kind", F.lit(str(level)), "block", "local")
-        several = F.col("kind").isin([k for k, b in blocks.items() if b > 1])
-        filled = placed.groupBy("kind", "block", "local").agg(F.sum("tokens").alias("full"))
-        cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))
-        good = filled.filter(F.col("full") >= F.lit(well_filled) * cap[F.col("kind")]).select("kind", "block", "local")
-        if max(blocks.values()) > 1:
-            rest = materialize(placed.filter(several).join(good, ["kind", "block", "local"], "left_anti").select("kind", "item", "part", "tokens", "loss"), "pack_rest")
-            m = _per_kind(rest)
-        else:
-            m = {}
-        again = [k for k in m if m[k] <= 0.8 * n[k]]  # the others would not be filled better
-        whole = placed.filter(~F.col("kind").isin(again))
-        done.append(whole.select("kind", "item", "part", "tokens", label.alias("container")))
-        if not again:
-            break
-        kept = placed.filter(F.col("kind").isin(again)).join(good, ["kind", "block", "local"], "left_semi")
-        done.append(kept.select("kind", "item", "part", "tokens", label.alias("container")))
-        left, n = rest.filter(F.col("kind").isin(again)), {k: m[k] for k in again}
+        keep = ~(F.col("kind").isin(again) & bad)
+        done.append(placed.filter(keep).select("kind", "item", "part", "tokens", "loss", label.alias("container")))
+        left = placed.filter(~keep).select("kind", "item", "part", "tokens", "loss")
+        n, emptied = {k: found[k]["rest"] for k in again}, {k: found[k]["bad"] for k in again}
         level += 1
     if not done:
-        return spark.createDataFrame([], "kind string, item long, part int, tokens long, container string")
+        return spark.createDataFrame([], "kind string, item long, part int, tokens long, loss long, container string")
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

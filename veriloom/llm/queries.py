@@ -168,6 +168,48 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * cap[F.col("kind")]), 6))
 
 
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed under three limits that all bind: per kind the containers, how often each limit was the one that filled a container, and what was broken.
+
+    A document is read as an instruction (its first sentence or line, which bears no loss) and an answer; a
+    container takes at most nine tenths of its capacity in loss-bearing tokens and one segment per 128 tokens.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.select("doc_id", "text", F.substring_index(F.substring_index("text", "\n", 1), ". ", 1).alias("head"))
+    counted = materialize(tokens.token_counts(tokens.token_counts(spread(both), "head", "n_head"), "text", "n_tokens"), "doc_parts")
+    kinds = container_kinds(spark, sf_dir)
+    packed = packing.pack(counted, "doc_id", "n_tokens", F.greatest(F.col("n_tokens") - F.col("n_head"), F.lit(0)), kinds, tokens_per_segment=128, loss_share=0.9)
+    cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))[F.col("kind")]
+    per = packed.groupBy("kind", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"), F.sum("loss").alias("l"))
+    return per.groupBy("kind").agg(
+        F.count("*").alias("containers"), F.sum("t").alias("tokens"),
+        F.sum((F.col("t") >= 0.97 * cap).cast("long")).alias("by_tokens"),
+        F.sum((F.col("s") == F.greatest(F.lit(1), F.floor(cap / 128))).cast("long")).alias("by_segments"),
+        F.sum((F.col("l") >= 0.97 * 0.9 * cap).cast("long")).alias("by_loss"),
+        F.sum(((F.col("t") > cap) | (F.col("s") > F.greatest(F.lit(1), F.floor(cap / 128))) | (F.col("l") > F.floor(0.9 * cap))).cast("long")).alias("broken"),
+    )
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: documents packed, over-full containers, documents with lost or invented tokens, documents divided without need, and whether over a fiftieth of the capacity stays unused."""
+    docs = counted_documents(spark, sf_dir)
+    kinds = container_kinds(spark, sf_dir)
+    packed = materialize(packing.pack(docs, "doc_id", "n_tokens", None, kinds), "pack_checked")
+    cap = F.create_map(*(x for k, c in kinds for x in (F.lit(k), F.lit(c))))[F.col("kind")]
+    full = packed.groupBy("kind", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"))
+    full = full.groupBy("kind").agg(
+        F.sum(((F.col("t") > cap) | (F.col("s") > F.greatest(F.lit(1), F.floor(cap / 16)))).cast("long")).alias("over_full"),
+        ((F.count("*") - 1) * F.first(cap) > 1.02 * F.sum("t")).alias("wasteful"),
+    )
+    per = packed.groupBy("kind", F.col("item").alias("doc_id")).agg(F.sum("tokens").alias("t"), F.count("*").alias("parts"))
+    per = per.join(docs.select("doc_id", "n_tokens"), "doc_id")
+    per = per.groupBy("kind").agg(
+        F.count("*").alias("documents"), F.sum((F.col("t") != F.col("n_tokens")).cast("long")).alias("changed"),
+        F.sum((F.col("parts") != F.ceil(F.col("n_tokens") / cap)).cast("long")).alias("divided"),
+    )
+    return per.join(full, "kind").select("kind", "documents", "over_full", "changed", "divided", "wasteful")
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(counted_documents(spark, sf_dir), "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
 
@@ -176,6 +218,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per listed source: whether a document is used too often or comes from elsewhere, and whether the share misses its target by over a thousandth."""
+    mixed = materialize(p9_mixture(spark, sf_dir), "mix_checked")
+    got = mixing.shares(mixed, table(spark, sf_dir, "mix_targets"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("own"))
+    strange = mixed.join(own, "item", "left").groupBy("source").agg(F.sum((~F.col("own").eqNullSafe(F.col("source"))).cast("long")).alias("strange"))
+    return got.join(strange, "source", "left").select(
+        "source", (F.col("most_used") > F.col("max_repeats")).alias("over_used"), F.coalesce("strange", F.lit(0)).alias("strange"),
+        (F.abs(F.col("share") - F.col("target_share")) > 0.001).alias("off_target"),
+    )
+
+
 # ---- 10: visually identical text ----------------------------------------------------------------------------------
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +257,11 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_limits": p8_limits,
+    "p8_checks": p8_checks,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
 }

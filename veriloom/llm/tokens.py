@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,12 +11,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-DEFAULT_TOKENIZER = os.environ.get("VERILOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+DEFAULT_TOKENIZER = os.environ.get("VERILOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# Fixed value: how public byte-level vocabularies cut a text before merging bytes.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
 def load(path: str):
-    """A function from a list of texts to a list of token id lists (one worker loads a file once)."""
+    """A function from a list of texts to a list of token id lists (one worker loads a file once).
+
+    ``.tiktoken`` files hold ranks of byte sequences, ``.model`` files sentence pieces, all others a tokenizer in JSON.
+    """
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranked = tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [ranked.encode_ordinary(t) for t in texts]
     if path.endswith(".model"):
         import sentencepiece
 
