@@ -10,13 +10,16 @@ are positions in the stored text, and restoring is a substring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import vocab as V
 from veriloom.llm.variants import GIVEN_NAMES
 
-DOT, BREAK = chr(0xE000), chr(0xE001)  # private use
+DOT, BREAK, HOLD = chr(0xE000), chr(0xE001), chr(0xE002)  # private use
 
 # Abbreviations that are followed by what they announce and never end a sentence.
 TITLES = "Dr Mr Mrs Ms Prof St Sr Sra Srta Hr Rev Hon Capt Sgt Ing डॉ श्री प्रो".split()
@@ -38,76 +41,79 @@ CUT_GIVEN = sorted({e.partition(":")[0][:3].title() for e in GIVEN_NAMES})
 
 _WS = "[" + V.SPACE_CHARS + "]"
 _NOT_IN_WORD = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}\p{N}])"
-#: How far a closing mark is looked for from each terminator, in characters; longer quotations are paired by their marks.
-QUOTE_REACH = 300
 
 
 def _any(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
-def _where(t: Column, opening: str, closing: str, pattern: str) -> Column:
-    """Mask a pattern in texts that hold both quotation marks.
+def _step(t: Column, sign: Callable[[Column], Column] | list[str], pattern: str, to: str) -> Column:
+    """Replace a pattern in texts that show a sign of it: one of some texts, or what a function of the text tells.
 
-    The one-element transform names the masked text once; a plain CASE would repeat the whole chain.
+    Looking for a sign costs a fraction of a pattern.  The one-element transform names the text once; a plain CASE would repeat the whole chain.
     """
-    both = lambda x: F.contains(x, F.lit(opening)) & F.contains(x, F.lit(closing))
-    return F.transform(F.array(t), lambda x: F.when(both(x), F.regexp_replace(x, pattern, DOT)).otherwise(x))[0]
+    shows = (lambda x: reduce(Column.__or__, (F.contains(x, F.lit(w)) for w in sign))) if isinstance(sign, list) else sign
+    return F.transform(F.array(t), lambda x: F.when(shows(x), F.regexp_replace(x, pattern, to)).otherwise(x))[0]
 
 
-def _mask_long(t: Column, opening: str, closing: str, others: str) -> Column:
-    """Mask the terminators of quotations longer than QUOTE_REACH: what an opening mark and the next mark, a closing one, enclose."""
+def _mask_quoted(t: Column, opening: str, closing: str, others: str) -> Column:
+    """Mask the terminators of quotations of any length, unless nothing but the closing mark follows: what an opening mark and the next mark, a closing one, enclose."""
     def inside(piece: Column) -> Column:
-        q = F.regexp_extract(piece, f"^[^{others}]{{{QUOTE_REACH},}}+(?={closing})", 0)
-        masked = F.regexp_replace(q, r"[.!?。！？।؟](?=[^\p{L}]{0,20}+\p{L})", DOT)
+        q = F.regexp_extract(piece, f"^[^{others}]++(?={closing})", 0)
+        masked = F.regexp_replace(q, r"[.!?。！？।؟](?=[^\p{L}]*+\p{L})", DOT)
         return F.concat(masked, F.substr(piece, F.length(q) + 1))
 
     def paired(x: Column) -> Column:
-        return F.array_join(F.transform(F.split(x, opening), lambda p, i: F.when(i > 0, inside(p)).otherwise(p)), opening)
+        return F.array_join(F.transform(F.split(x, opening), lambda p, i: F.when((i > 0) & p.rlike(r"[.!?。！？।؟]"), inside(p)).otherwise(p)), opening)
 
-    long = f"{opening}[^{others}]{{{QUOTE_REACH},}}+{closing}"
-    return F.transform(F.array(t), lambda x: F.when(x.rlike(long), paired(x)).otherwise(x))[0]
+    both = lambda x: F.contains(x, F.lit(opening)) & F.contains(x, F.lit(closing))
+    return F.transform(F.array(t), lambda x: F.when(both(x), paired(x)).otherwise(x))[0]
 
 
 def mask(text: Column) -> Column:
     """The text with every mark that ends no sentence replaced by a placeholder of the same length."""
     sub = F.regexp_replace
-    t = sub(text, r"\.(?=\.)|(?<=\.)\.(?=" + _WS + r"+\p{Ll})", DOT)  # dots of an ellipsis but the last
+    t = _step(text, [".."], r"\.(?=\.)|(?<=\.)\.(?=" + _WS + r"+\p{Ll})", DOT)  # dots of an ellipsis but the last
     # Two full stops are an abbreviation and an end; three are an ellipsis, which ends nothing before more text.
-    t = sub(t, f"(?<={DOT}{DOT})\\.(?={_WS}*\\S)", DOT)
-    t = sub(t, r"[.](?=[0-9])(?<=[0-9].)", DOT)
-    t = sub(t, r"[.!?](?=[^\s])(?<=(?:www|//)[^\s]{0,200}.)", DOT)
-    t = sub(t, f"\\.(?<={_NOT_IN_WORD}{_any(TITLES + LEADING)}\\.)", DOT)
+    t = _step(t, [DOT + DOT], f"(?<={DOT}{DOT})\\.(?={_WS}*\\S)", DOT)
+    t = sub(t, r"(?<=[0-9])[.](?=[0-9])", DOT)
+    t = _step(t, ["www", "//"], r"((?:www|//|\G(?!^))[^\s.!?]*+)[.!?](?=[^\s])", "$1" + DOT)
+    # Single letters: initials, "e.g.", "z. B."
+    t = sub(t, r"\.(?=" + _WS + r"?\p{L}[." + DOT + "])(?<=" + _NOT_IN_WORD + r"\p{L}\.)", DOT)
+    t = _step(t, [DOT], f"\\.(?<={_NOT_IN_WORD}\\p{{L}}{DOT}{_WS}?\\p{{L}}\\.)", DOT)
+    # Abbreviations that never end a sentence, and capital letters.
+    t = sub(t, f"\\.(?<={_NOT_IN_WORD}(?:\\p{{Lu}}|{'|'.join(TITLES + LEADING)})\\.)", DOT)
     t = sub(t, f"(?iu)\\.(?={_WS}*[0-9])(?<={_NOT_IN_WORD}{_any(NUMBERED)}\\.)", DOT)
     # "no." is also an answer: before the number of the next list item it ends a sentence.
-    t = sub(t, f"(?i)\\.(?={_WS}*[0-9]+(?![0-9]|\\.{_WS}+\\p{{Lu}}))(?<={_NOT_IN_WORD}no\\.)", DOT)
-    t = sub(t, f"\\.(?={_WS}+(?!\\p{{Ll}}-?\\p{{Lu}})[\\p{{Ll}}\\p{{Lo}}])(?<={_any(COMPANY)}\\.)", DOT)
-    # Single letters: initials, "e.g.", "z. B."; letters that follow a surname and a comma may end a sentence.
-    t = sub(t, r"\.(?=" + _WS + r"?\p{L}[." + DOT + "])(?<=" + _NOT_IN_WORD + r"\p{L}\.)", DOT)
-    t = sub(t, f"\\.(?<={_NOT_IN_WORD}\\p{{L}}{DOT}{_WS}?\\p{{L}}\\.)", DOT)
-    t = sub(t, r"\.(?<=" + _NOT_IN_WORD + r"\p{Lu}\.)", DOT)
-    t = sub(
-        t,
-        f"(\\p{{L}},{_WS}(?:\\p{{Lu}}{DOT}{_WS}?){{0,3}}\\p{{Lu}}){DOT}(?={_WS}+[“\"«„(]?(?:\\p{{Lu}}(?![.{DOT}])|[0-9]{{1,3}}[.)]))",
+    t = _step(t, ["no.", "No.", "NO."], f"(?i)\\.(?={_WS}*[0-9]+(?![0-9]|\\.{_WS}+\\p{{Lu}}))(?<={_NOT_IN_WORD}no\\.)", DOT)
+    t = _step(t, [w + "." for w in COMPANY], f"\\.(?={_WS}+(?!\\p{{Ll}}-?\\p{{Lu}})[\\p{{Ll}}\\p{{Lo}}])(?<={_any(COMPANY)}\\.)", DOT)
+    # Letters that follow a surname and a comma may end a sentence.
+    t = _step(
+        t, [DOT],
+        f"(\\p{{L}},{_WS}(?:\\p{{Lu}}{DOT}{_WS}?)*\\p{{Lu}}){DOT}(?={_WS}+[“\"«„(]?(?:\\p{{Lu}}(?![.{DOT}])|[0-9]{{1,3}}[.)]))",
         "$1.",
     )
     starters = f"(?:{_any(STARTERS)}(?![\\p{{L}}.{DOT}]))"
-    t = sub(t, f"((?:[ap]{DOT}{_WS}?m|{_NOT_IN_WORD}\\p{{Lu}})){DOT}(?={_WS}+{starters})", "$1.")
+    t = _step(t, [DOT], f"{DOT}(?={_WS}+{starters})(?<=(?:[ap]{DOT}{_WS}?m|{_NOT_IN_WORD}\\p{{Lu}}){DOT})", ".")
     # A given name cut to three letters, unless a capitalised word (a name it would close) stands before it.
-    name = f"{_any(CUT_GIVEN)}\\."
-    free = f"(?<![0-9]{_WS})(?<![A-ZÀ-Þ][\\p{{IsLatin}}\\p{{M}}’'-]{{0,24}}{_WS})(?<!\\p{{IsLatin}}){name}"
-    t = sub(t, f"\\.(?={_WS}(?!{starters})\\p{{Lu}}\\p{{Ll}})(?<=(?:{free}|{_any(STARTERS)}{_WS}{name}))", DOT)
+    name = f"{_any(CUT_GIVEN)}"
+    follows = f"\\.(?={_WS}(?!{starters})\\p{{Lu}}\\p{{Ll}})"
+
+    def names(x: Column) -> Column:
+        held = F.regexp_replace(x, f"((?<![\\p{{IsLatin}}’'-])(?!{_any(STARTERS)}{_WS})[A-ZÀ-Þ][\\p{{IsLatin}}\\p{{M}}’'-]*+{_WS}{name}|[0-9]{_WS}{name})\\.", "$1" + HOLD)
+        done = F.regexp_replace(held, f"(?<!\\p{{IsLatin}})({name}){follows}", "$1" + DOT)
+        return F.translate(done, HOLD, ".")
+
+    t = F.transform(F.array(t), lambda x: F.when(x.rlike(f"{follows}(?<=(?<!\\p{{IsLatin}}){name}\\.)"), names(x)).otherwise(x))[0]
     # Numbers that open a line or a sentence, and ordinals.
-    t = sub(t, r"(?m)\.(?=" + _WS + r")(?<=^[ \t]{0,8}(?:[0-9]{1,3}|[IVXLC]{1,5})\.)", DOT)
-    t = sub(t, r"\.(?=" + _WS + r"+[\p{L}“\"«„])(?<=[.!?…。！？।”“»\")\]]" + _WS + r"{1,3}[0-9]{1,3}\.)", DOT)
-    t = sub(t, f"\\.(?={_WS})(?<={_NOT_IN_WORD}{_any(BEFORE_ORDINAL)}{_WS}[0-9]{{1,2}}\\.)", DOT)
-    t = sub(t, f"\\.(?={_WS}+{_any(MONTHS_DE)}(?!\\p{{L}}))(?<={_NOT_IN_WORD}[0-9]{{1,2}}\\.)", DOT)
-    # Terminators inside a quotation, unless nothing but its closing mark follows.
+    t = sub(t, r"(?m)^([ \t]*(?:[0-9]{1,3}|[IVXLC]{1,5}))\.(?=" + _WS + ")", "$1" + DOT)
+    item = r"\.(?=" + _WS + r"+[\p{L}“\"«„])"
+    t = _step(t, lambda x: x.rlike(r"(?<=[0-9])" + item), r"([.!?…。！？।”“»\")\]]" + _WS + r"+[0-9]{1,3})" + item, "$1" + DOT)
+    ordinal = f"\\.(?={_WS})(?<=[0-9]\\.)(?:(?<={_NOT_IN_WORD}{_any(BEFORE_ORDINAL)}{_WS}[0-9]{{1,2}}\\.)|(?={_WS}+{_any(MONTHS_DE)}(?!\\p{{L}}))(?<={_NOT_IN_WORD}[0-9]{{1,2}}\\.))"
+    t = sub(t, ordinal, DOT)
+    # Terminators inside a quotation.
     for opening, closing, others in (("“", "”", "“”„"), ("«", "»", "«»"), ("「", "」", "「」"), ("『", "』", "『』"), ("„", "“", "„“”")):
-        ahead = f"(?=[^{others}\\p{{L}}]{{0,20}}+\\p{{L}}[^{others}]{{0,{QUOTE_REACH}}}+{closing})"
-        back = f"(?<=„[^„“”]{{0,{QUOTE_REACH}}}.)" if opening == "„" else ""
-        inner = "[.!?。！？।؟]" + ahead + back
-        t = _mask_long(_where(t, opening, closing, inner), opening, closing, others)
+        t = _mask_quoted(t, opening, closing, others)
     return t
 
 
@@ -121,13 +127,13 @@ def mark_breaks(masked: Column) -> Column:
     t = sub(masked, f"([.!?؟۔]+{closers})(?={_WS}+{opening}{starts})", "$1" + BREAK)
     # The blank after the full stop is missing.
     t = sub(t, r"((?<=[\p{Ll}\p{N})])[.!?]+)(?=[¿¡«“„(]{0,2}\p{Lu}\p{Ll})", "$1" + BREAK)
-    t = sub(t, f"([؟۔]+)(?=[^{V.SPACE_CHARS}\"”»)])", "$1" + BREAK)
-    t = sub(t, f"([।॥]+{closers})(?!{BREAK})", "$1" + BREAK)
+    t = _step(t, ["؟", "۔"], f"([؟۔]+)(?=[^{V.SPACE_CHARS}\"”»)])", "$1" + BREAK)
+    t = _step(t, ["।", "॥"], f"([।॥]+{closers})(?!{BREAK})", "$1" + BREAK)
     # Scripts without blanks: quotation and bracket ends go on unless white space follows.
-    t = sub(t, r"([。！？]+)(?![。！？」』）”’》\])])", "$1" + BREAK)
-    t = sub(t, r"([。！？]+[」』）”’》\])]+)(?=\s)", "$1" + BREAK)
-    t = sub(t, r"(?<=[฀-๿])(?=\s+[฀-๿])", BREAK)
-    return sub(t, r"(\n[ \t\r\x{A0}]*\n)", BREAK + "$1")
+    t = _step(t, ["。", "！", "？"], r"([。！？]+)(?![。！？」』）”’》\])])", "$1" + BREAK)
+    t = _step(t, ["。", "！", "？"], r"([。！？]+[」』）”’》\])]+)(?=\s)", "$1" + BREAK)
+    t = _step(t, lambda x: x.rlike("[\u0e00-\u0e7f]"), r"(?<=[฀-๿])(?=\s+[฀-๿])", BREAK)
+    return _step(t, ["\n"], r"(\n[ \t\r\x{A0}]*\n)", BREAK + "$1")
 
 
 def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -139,7 +145,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     not matter and are not carried.
     """
     whole = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__r"))
-    whole = whole.withColumn("__t", F.translate("__t", DOT + BREAK, "��"))
+    whole = whole.withColumn("__t", F.translate("__t", DOT + BREAK + HOLD, "���"))
     pieces = whole.select("__k", "__r", F.posexplode(F.split(mark_breaks(mask(F.col("__t"))), BREAK)).alias("__i", "__p"))
     head = F.length("__p") - F.length(F.ltrim("__p", F.lit(V.SPACE_CHARS)))
     body = F.length(F.btrim("__p", F.lit(V.SPACE_CHARS)))
