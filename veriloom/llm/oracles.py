@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veriloom.functions import vocab as V
 from veriloom.plans import duck as D
 
 _TRUST = "(SELECT extraction_method, min(trust_rank) AS trust_rank FROM method_trust GROUP BY 1)"
@@ -55,18 +56,21 @@ SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM t WHE
 """
 
 def _look(x: str) -> str:
-    """A plain fold for comparison: width, spacing, invisible characters, composition, one letter per glyph class."""
-    from veriloom.llm import lookalike as L
-
-    folds = L._folds()
-    gone = "".join(chr(c) for c, v in folds.items() if v is None)
-    single = {chr(c): v for c, v in folds.items() if v is not None and len(v) == 1}
-    several = {chr(c): v for c, v in folds.items() if v is not None and len(v) > 1 and (0xFB00 <= c <= 0xFB06 or c == 0x2026)}
-    t = f"translate(translate({x}, {D.chars(gone)}, ''), '{''.join(single)}', {D.lit(''.join(single.values()))})"
-    for a, b in several.items():
-        t = f"replace({t}, '{a}', '{b}')"
-    classes = {m: min(c) for c in set(L.CLASSES.values()) for m in c if m != min(c)}
-    return f"translate(nfc_normalize({t}), '{''.join(classes)}', '{''.join(classes.values())}')"
+    """The look of a text, stated without the operator: width, spacing, hyphens and invisible characters by rule, Cyrillic and Greek letters as the Latin ones drawn alike, then composition."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    blanks = "".join(c for c in V.SPACE_CHARS if ord(c) > 0x7F and c not in "\u1680\u2028\u2029\x85")
+    t = f"translate({x}, {D.chars(V.INVISIBLE_CHARS)}, '')"
+    t = f"translate({t}, {D.chars(wide)}, {D.lit(narrow)})"
+    t = f"translate({t}, {D.chars(blanks)}, '{' ' * len(blanks)}')"
+    t = f"translate({t}, {D.chars(chr(0x2010) + chr(0x2011) + chr(0x2212) + chr(0x37E))}, '---;')"
+    for mark, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "...")):
+        t = f"replace({t}, '{mark}', '{plain}')"
+    cyrillic = ("аеорсухіѕјһԁԛԝѵАВЕКМНОРСТХІЅЈҮГЛПФЁёЇї", "aeopcyxisjhdqwvABEKMHOPCTXISJYГЛПФËëÏï")
+    greek = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΓΛΠΦονϲϳ", "ABEZHIKMNOPTYXГЛПФovcj")
+    for seen, meant in (cyrillic, greek):
+        t = f"translate({t}, '{seen}', '{meant}')"
+    return f"nfc_normalize({t})"
 
 
 P10 = f"""
