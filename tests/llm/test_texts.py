@@ -55,6 +55,24 @@ def test_lookalike_words():
     assert r.word("the") != r.word("tha")
     russian = lookalike.Reader({"^с": -1.0, "со": -1.0, "ор": -1.0, "р$": -1.0})
     assert russian.word("cop") == "сор"
+    # Accents stay on their letters, whatever script the letter was taken from.
+    assert r.word("thе" + chr(0x301)) == r.word("thé") == "thé"
+    # A stroke that may be l or I is read as what its neighbours ask for; l and I themselves differ.
+    plan = lookalike.Reader({"^p": -1.0, "pl": -1.0, "la": -1.0, "an": -1.0, "n$": -1.0, "^I": -1.0, "IN": -1.0, "N$": -1.0})
+    stroke = chr(0x4CF)
+    assert plan.word("p" + stroke + "an") == plan.word("plan") == "plan" != plan.word("pIan")
+    assert plan.word(stroke + "N") == plan.word("IN") == "IN" != plan.word("lN")
+
+
+def test_words_in_question(spark):
+    words = spark.createDataFrame([("see", 500, 500), ("sec", 100, 100), ("5ec", 2, 2), ("is", 900, 900), ("ls", 1, 1)], "w string, n long, n_low long")
+    names = spark.createDataFrame([], "w string")
+    found = {(r.w, r.right, r.rare) for r in scans.corrections(words, names).collect()}
+    assert ("5ec", "see", True) in found and ("see", "sec", False) in found and ("sec", "see", False) in found and ("ls", "is", False) in found
+    pairs = spark.createDataFrame([("please", "see", 90, 0), ("please", "sec", 1, 0), ("ten", "sec", 30, 0), ("it", "is", 80, 0), ("it", "ls", 1, 0)], "a string, b string, n long, n_low long")
+    usual = scans.corrections(words, names).filter("not rare").select("w", "right", "n_right")
+    got = {(r.w, r.b, r.right, r["at"]) for r in scans.doubted_pairs(usual, pairs).collect()}
+    assert got == {("please", "sec", "see", 1), ("it", "ls", "is", 1)}
 
 
 def test_same_look_pairs(spark):
@@ -100,14 +118,14 @@ def test_split_words_of_names(spark):
     pairs = [("va", "lve", 2, 2), ("ware", "house", 3, 2), ("kel", "mo", 1, 0)]
     words, pairs = spark.createDataFrame(words, "w string, n long, n_low long"), spark.createDataFrame(pairs, "a string, b string, n long, n_low long")
     names = spark.createDataFrame([("valve",), ("warehouse",), ("kelmo",)], "w string")
-    assert {tuple(r) for r in scans.split_words(words, pairs, names).collect()} == {("va", "lve", "valve", False), ("ware", "house", "warehouse", True)}
+    assert {tuple(r) for r in scans.split_words(words, pairs, names).select("a", "b", "right", "low").collect()} == {("va", "lve", "valve", False), ("ware", "house", "warehouse", True)}
 
 
 def test_joined_words_of_names(spark):
     words = spark.createDataFrame([("themeter", 1, 1), ("kelmopark", 1, 0)], "w string, n long, n_low long")
     pairs = spark.createDataFrame([("the", "meter", 40, 40), ("kelmo", "park", 40, 0)], "a string, b string, n long, n_low long")
     names = spark.createDataFrame([("themeter",), ("kelmopark",)], "w string")
-    assert [tuple(r) for r in scans.joined_words(words, pairs, names).collect()] == [("themeter", "the meter", 40)]
+    assert [tuple(r) for r in scans.joined_words(words, pairs, names).collect()] == [("themeter", "the meter", 40, True)]
 
 
 def test_page_numbers_inside_a_page(spark):
@@ -119,7 +137,7 @@ def test_page_numbers_inside_a_page(spark):
     pages += [(10 + p, "b.pdf", p, "\n".join(body[:5] + [head] + [n] + body[5:])) for p, n in ((1, "i"), (2, "Page 7 of 9"), (3, "2024"))]
     pages += [(10 + p, "b.pdf", p, "\n".join([head, *body])) for p in (4, 5)]
     scanned = spark.createDataFrame(pages, "seg_id long, document string, page_number int, text string")
-    got = {tuple(r) for r in scans.furniture(scans.lines_of(scanned)).select("seg_id", "line_no").collect()}
+    got = {tuple(r) for r in scans.furniture(scans.keyed_lines(scanned), scanned.select("seg_id", "document")).select("seg_id", "line_no").collect()}
     assert {(1, 5), (4, 5), (2, 0), (3, 0), (6, 0), (11, 6), (12, 6)} <= got
     assert not {(5, 5), (6, 5), (13, 6)} & got
 

@@ -389,9 +389,13 @@ class Scan:
         key = ["seg_id", "line_no", "i", "wrong", "right"]
         said = rows.select(*key, F.explode(asked).alias("q")).select(*key, "q.*").filter("a is not null and b is not null").distinct()
         said = said.join(self.pairs.select("a", "b", "n"), ["a", "b"])
-        said = said.groupBy(*key).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("for_own"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("for_right"))
-        judged = rows.join(said, key, "left").select(*key, "n_right", "rare", F.coalesce("for_own", F.lit(0)).alias("own"), F.coalesce("for_right", F.lit(0)).alias("other"))
-        against = (F.col("own") >= FREQUENT) & (F.col("other") == 0)
+        said = said.groupBy(*key).agg(
+            F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("for_own"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("for_right"),
+            F.sum(F.when(F.col("own") & (F.col("n") >= FREQUENT), 1).otherwise(0)).alias("sides"),
+        )
+        judged = rows.join(said, key, "left").select(*key, "n_right", "rare", F.coalesce("for_own", F.lit(0)).alias("own"), F.coalesce("for_right", F.lit(0)).alias("other"), F.coalesce("sides", F.lit(0)).alias("sides"))
+        # A rare form stands as written where it is at home on both sides and the other form on none.
+        against = (F.col("sides") == 2) & (F.col("other") == 0)
         backed = (F.col("other") >= FREQUENT) & (F.col("other") >= DOMINANCE * F.col("own"))
         judged = judged.filter(F.when(F.col("rare"), ~against).otherwise(backed))
         return judged.groupBy("seg_id", "line_no", "i", "wrong").agg(F.max_by("right", F.struct("other", "n_right", "right")).alias("right")).select("seg_id", "line_no", "wrong", "right")
