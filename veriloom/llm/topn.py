@@ -5,11 +5,16 @@ parquet table in the shared folder.  Its row-group statistics then decide what
 is read: a row group that holds one group only and whose maximum lies strictly
 below that group's N-th score is never opened.  A range layout on (group,
 score) splits a hot group over many files, so no task ever holds one whole.
+
+A row group of several groups holds the best row of every group but its first one, so
+its maximum is never strictly below the N-th score of all groups in it: in this layout such row groups
+are needed, and each group has at most two of them.  A layout is a table: it serves any N, as often as asked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +39,27 @@ _STATS = T.StructType(
 )
 
 
-def _open(path: str) -> pq.ParquetFile:
+def readable(path: str) -> str | None:
+    """The path as the parquet reader names it, or null if it has no reader for that file system."""
+    from pyarrow import fs
+
     if path.startswith("file:"):
-        return pq.ParquetFile(path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:])
+        return "file://" + "/" + path[5:].lstrip("/")
+    scheme, sep, rest = path.partition("://")
+    path = ("s3" if scheme in ("s3a", "s3n") else scheme) + sep + rest
+    if path.startswith(("s3://", "hdfs://")):
+        return path
+    try:
+        fs.FileSystem.from_uri(path)
+    except Exception:  # noqa: BLE001 - any failure means it can't be read this way
+        return None
+    return path
+
+
+def _open(path: str) -> pq.ParquetFile:
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(readable(path))
     return pq.ParquetFile(system.open_input_file(inner))
 
 
@@ -51,7 +71,7 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
             for rg in range(meta.num_row_groups):
                 part = meta.row_group(rg)
-                g, s = (part.column(index[c]).statistics for c in ("__g", "__s"))
+                g, s = (part.column(index[c]).statistics for c in ("__g", "__d"))
                 known = g is not None and g.has_min_max and s is not None and s.has_min_max
                 rows.append(
                     {
@@ -91,7 +111,7 @@ def _reader(n: int, ties: list[str]):
                     rank = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
                     keep = t.filter(pa.array(rank < n))
                     nth = t.filter(pa.array(rank == n - 1))
-                    for k, s in zip(nth.column("__g").to_pylist(), nth.column("__s").to_pylist()):
+                    for k, s in zip(nth.column("__g").to_pylist(), nth.column("__d").to_pylist()):
                         if s > floor.get(k, float("-inf")):
                             floor[k] = s
                     yield from keep.combine_chunks().to_batches()
@@ -99,29 +119,23 @@ def _reader(n: int, ties: list[str]):
     return read
 
 
-def top_n_per_group(
-    df: DataFrame,
-    group: Column,
-    score: Column,
-    ties: list[Column],
-    n: int,
-    carry: list[str],
-    row_group_bytes: int = 1 << 20,
-) -> DataFrame:
-    """The ``n`` rows of highest ``score`` in every ``group``; returns ``carry``.
+@dataclass(frozen=True)
+class Layout:
+    """Rows clustered by group and descending score: a parquet table at ``path``, __g, __s, __d (the score as a double, for statistics only) and the ties beside ``carry``."""
 
-    Order: higher score, then the ``ties`` columns ascending (nulls first).
-    Rows whose group or score is null, or whose score is NaN, never count.  Repeated rows
-    are separate rows (deduplicate before if they are not).  An empty table
-    gives an empty result; clashing names do no harm because the operator's own
-    columns are added under a private prefix and only ``carry`` comes out.
-    """
+    rows: DataFrame
+    path: str
+    carry: list[str]
+    ties: list[str]
+
+
+def layout(df: DataFrame, group: Column, score: Column, ties: list[Column], carry: list[str], row_group_bytes: int = 1 << 20) -> Layout:
+    """Write the layout of ``df`` that ``top_n`` reads.  Rows whose group or score is null, or whose score is NaN, are left out."""
     spark = df.sparkSession
     tie_names = [f"__t{i}" for i in range(len(ties))]
-    score_d = score.cast("double")
     laid = df.select(
-        *carry, group.cast("string").alias("__g"), score_d.alias("__s"), *(c.alias(t) for c, t in zip(ties, tie_names))
-    ).filter(F.col("__g").isNotNull() & F.col("__s").isNotNull() & ~F.isnan("__s"))
+        *carry, group.cast("string").alias("__g"), score.alias("__s"), score.cast("double").alias("__d"), *(c.alias(t) for c, t in zip(ties, tie_names))
+    ).filter(F.col("__g").isNotNull() & F.col("__d").isNotNull() & ~F.isnan("__d"))
     order = [F.col("__g"), F.col("__s").desc(), *(F.col(t) for t in tie_names)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, "topn_layout")
@@ -131,22 +145,44 @@ def top_n_per_group(
         .write.option("parquet.block.size", str(row_group_bytes))
         .parquet(path)
     )
-    names = list_files(spark, path)
-    if not names:
-        return spark.createDataFrame([], laid.select(*carry).schema)
-    files = spark.createDataFrame([(p,) for p in names], "path string").repartition(min(len(names), parts))
-    stats = materialize(files.mapInArrow(_footers, _STATS), "topn_stats")
-    # A group's N-th score is at least the minimum of any row group that holds n rows of it and nothing else.
-    known = stats.filter(F.col("pure") & (F.col("n_rows") >= n)).groupBy("g_min").agg(F.max("s_min").alias("floor"))
-    needed = stats.join(known, "g_min", "left").filter(~(F.col("pure") & F.col("floor").isNotNull() & (F.col("s_max") < F.col("floor"))))
-    plan = needed.groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct("s_max", "rg", "pure", "g_min")), asc=False).alias("parts")
-    )
-    # As many tasks as files: AQE would judge the plan by the size of these names.
-    plan = plan.repartition(min(len(names), parts), "path")
-    best = plan.mapInArrow(_reader(n, tie_names), laid.schema)
-    w = Window.partitionBy("__g").orderBy(F.col("__s").desc(), *(F.col(t) for t in tie_names))
-    return best.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).select(*carry)
+    return Layout(spark.read.schema(laid.schema).parquet(path), path, carry, tie_names)
+
+
+def top_n(laid: Layout, n: int) -> DataFrame:
+    """The ``n`` rows of highest score in every group of a layout.
+
+    Where the file system has no reader for single row groups the layout is read whole; the result is the same.
+    """
+    rows, spark = laid.rows, laid.rows.sparkSession
+    names = list_files(spark, laid.path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = rows
+    if names and readable(names[0]):
+        files = spark.createDataFrame([(p,) for p in names], "path string").repartition(min(len(names), parts))
+        stats = materialize(files.mapInArrow(_footers, _STATS), "topn_stats")
+        # A group's N-th score is at least the minimum of any row group that holds n rows of it and nothing else.
+        known = stats.filter(F.col("pure") & (F.col("n_rows") >= n)).groupBy("g_min").agg(F.max("s_min").alias("floor"))
+        needed = stats.join(known, "g_min", "left").filter(~(F.col("pure") & F.col("floor").isNotNull() & (F.col("s_max") < F.col("floor"))))
+        plan = needed.groupBy("path").agg(
+            F.sort_array(F.collect_list(F.struct("s_max", "rg", "pure", "g_min")), asc=False).alias("parts")
+        )
+        # As many tasks as files: AQE would judge the plan by the size of these names.
+        plan = plan.repartition(min(len(names), parts), "path")
+        best = plan.mapInArrow(_reader(n, laid.ties), rows.schema)
+    w = Window.partitionBy("__g").orderBy(F.col("__s").desc(), *(F.col(t) for t in laid.ties))
+    return best.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).select(*laid.carry)
+
+
+def top_n_per_group(df: DataFrame, group: Column, score: Column, ties: list[Column], n: int, carry: list[str], row_group_bytes: int = 1 << 20) -> DataFrame:
+    """The ``n`` rows of highest ``score`` in every ``group``; returns ``carry``.
+
+    Order: higher score, then the ``ties`` columns ascending (nulls first).
+    Rows whose group or score is null, or whose score is NaN, never count.  Repeated rows
+    are separate rows (deduplicate before if they are not).  An empty table
+    gives an empty result; clashing names do no harm because the operator's own
+    columns are added under a private prefix and only ``carry`` comes out.
+    """
+    return top_n(layout(df, group, score, ties, carry, row_group_bytes), n)
 
 
 def latest_delivery(df: DataFrame, key: str, time: str, then: list[str]) -> DataFrame:
