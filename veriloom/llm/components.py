@@ -65,8 +65,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 200
     for f in forest:
         dropped = f.select("id") if dropped is None else dropped.union(f.select("id"))
     labels = vertices if dropped is None else vertices.join(dropped, "id", "left_anti")
-    labels = labels.select("id", F.col("id").alias("group_id"))
+    labels = materialize(labels.select("id", F.col("id").alias("group_id")), "cc_seeds")
     for f in reversed(forest):
+        # Only the vertices of this round are written; their parents left the graph later or never.
         down = f.join(labels.withColumnRenamed("id", "parent"), "parent").select("id", "group_id")
-        labels = materialize(labels.union(down), "cc_labels")
+        labels = labels.union(materialize(down, "cc_labels"))
     return labels
