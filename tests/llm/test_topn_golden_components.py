@@ -34,6 +34,18 @@ def test_topn_hot_group_skips(spark):
     assert top(spark, rows, 5, row_group_bytes=4096) == brute(rows, 5)
 
 
+def test_topn_layout_is_reused_and_scores_keep_their_type(spark):
+    big = 2**60
+    rows = [("g", i, big + i) for i in range(50)] + [("h", 1, None), (None, 2, 5)]
+    df = spark.createDataFrame(rows, "g string, o long, s long")
+    laid = topn.layout(df, F.col("g"), F.col("s"), [F.col("o")], ["g", "o"], row_group_bytes=512)
+    # Neighbouring long scores are one double: their own type must decide.
+    assert sorted(r.o for r in topn.top_n(laid, 3).collect()) == [47, 48, 49]
+    assert sorted(r.o for r in topn.top_n(laid, 1).collect()) == [49]
+    assert topn.readable("s3a://bucket/x") == "s3://bucket/x" and topn.readable("file:/a/b") == "file:///a/b"
+    assert topn.readable("unknown-scheme://x/y") is None
+
+
 def test_latest_delivery(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, None, "c"), (2, None, "d")], "k long, t long, v string")
     assert sorted((r.k, r.v) for r in topn.latest_delivery(df, "k", "t", ["v"]).collect()) == [(1, "b"), (2, "d")]
@@ -42,8 +54,11 @@ def test_latest_delivery(spark):
 def record(spark, rows):
     df = spark.createDataFrame(rows, "rec_id long, id string, name string, rank int, at timestamp, m array<string>")
     vote = golden.trust(F.col("rank")) * golden.decay(F.col("at"))
-    own = F.col("rec_id")
-    fields = [golden.Field("name", own, own, F.when(F.col("name").isNotNull(), vote)), golden.Field("full", own, own, golden.completeness(F.size(F.coalesce("m", F.array().cast("array<string>"))), F.col("at")))]
+    own, order = F.col("rec_id"), F.struct(-F.coalesce("rank", F.lit(99)), F.col("at"))
+    fields = [
+        golden.Field("name", own, F.lower("name"), F.when(F.col("name").isNotNull(), vote), order),
+        golden.Field("full", own, own, F.greatest(F.lit(0), F.size(F.coalesce("m", F.array().cast("array<string>")))), order),
+    ]
     return {r.id: (r.name, r.full) for r in golden.best_record(df, "id", "rec_id", fields).collect()}
 
 
@@ -52,13 +67,26 @@ def test_golden_order(spark):
 
     day = lambda n: dt.datetime(2025, 1, n, 0, 0, 0, n)
     rows = [
-        (1, "x", "a", 2, day(9), ["p"]), (2, "x", "b", 1, None, ["p", "q"]), (3, "x", "c", 1, day(1), ["p", "q"]), (4, "x", None, 1, day(9), None),
+        (1, "x", "C", 2, day(9), ["p"]), (2, "x", "c", 1, None, ["p"]), (3, "x", "c", 1, day(1), ["p", "q"]), (4, "x", None, 1, day(9), None),
         (5, "y", None, None, None, None), (6, "z", "u", None, day(1), []), (7, "z", "v", None, day(1), []), (8, None, "w", 1, day(1), None),
     ]
     assert record(spark, rows) == {"x": (3, 3), "y": (None, 5), "z": (6, 6)}
     assert record(spark, []) == {}
 
 
+def test_golden_votes_add_up(spark):
+    """Two fresh records of rank 2 outvote an old one of rank 1, and the better of them delivers the value."""
+    import datetime as dt
+
+    rows = [(1, "x", "Acme", 1, dt.datetime(2020, 1, 1)), (2, "x", "Beta", 2, dt.datetime(2024, 1, 1)), (3, "x", "BETA", 2, dt.datetime(2024, 6, 1))]
+    df = spark.createDataFrame(rows, "rec_id long, id string, name string, rank int, at timestamp")
+    f = golden.Field("name", F.col("name"), F.lower("name"), golden.trust(F.col("rank")) * golden.decay(F.col("at")))
+    assert golden.best_record(df, "id", "rec_id", [f]).first().name == "BETA"
+    ages = spark.sql("select timestamp'2024-01-01' a, timestamp'2025-01-01' b, cast(null as timestamp) c")
+    a, b, c = ages.select(*(golden.decay(F.col(x)) for x in "abc")).first()
+    assert 1.9 < b / a < 2.1 and c == 1
+
+
 def test_golden_consensus(spark):
     df = spark.createDataFrame([(1, "x", "Acme"), (2, "x", "ACME"), (3, "x", "Beta")], "rec_id long, id string, name string")
     f = golden.Field("name", F.col("name"), F.lower("name"), F.when(F.col("rec_id") == 3, 3).otherwise(2))

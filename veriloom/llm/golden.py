@@ -20,16 +20,19 @@ class Field:
     value  -- what the winner delivers (any type, the same type over all fields)
     key    -- the normalised value that the vote goes to (cast to string)
     weight -- the vote, usually ``trust(rank) * decay(time)``, a whole number; a null vote does not count
+    order  -- which of the rows that voted for the winning value delivers it: the largest (any type, the same over all
+              fields; default the vote).  Equal ones are settled by the smallest tie.
     """
 
     name: str
     value: Column
     key: Column
     weight: Column
+    order: Column | None = None
 
 
 # Votes are exact integers (decimal 38), so a sum of many never rounds.
-_HALF, _LAST, _EPOCH_2000 = 1 << 52, 30, 946_684_800_000_000
+_LAST, _YEAR_US, _EPOCH_2000 = 30, 31_556_952_000_000, 946_684_800_000_000
 
 
 def trust(rank: Column) -> Column:
@@ -38,28 +41,22 @@ def trust(rank: Column) -> Column:
     return F.pow(F.lit(2.0), F.lit(_LAST) - r).cast("decimal(10,0)")
 
 
-def decay(time: Column) -> Column:
-    """Recency as an integer from 2^52 (no date) to just under 2^53.
+def decay(time: Column, half_life_years: float = 1.0) -> Column:
+    """Recency as a whole number that halves with every ``half_life_years`` of age.
 
-    Strictly increasing in microseconds for 71 years on both sides of 2000,
-    constant beyond.  It never doubles, so with ``trust`` a more trusted vote
-    outweighs any single less trusted one, whatever their dates.
+    2^10 at the turn of 2000, within 1 and 2^56 (ages only matter among each other, so no date of today is needed);
+    no date counts as the oldest, 1.
     """
-    us = F.unix_micros(time.cast("timestamp")) - F.lit(_EPOCH_2000) + F.lit(_HALF // 2)
-    d = F.least(F.greatest(us, F.lit(1)), F.lit(_HALF - 1))
-    return (F.lit(_HALF) + F.coalesce(d, F.lit(0))).cast("decimal(17,0)")
-
-
-def completeness(count: Column, time: Column) -> Column:
-    """A vote that counts filled items first and recency second."""
-    return (count.cast("decimal(18,0)") * F.lit(2 * _HALF).cast("decimal(17,0)") + decay(time)).cast("decimal(38,0)")
+    age = (F.unix_micros(time.cast("timestamp")) - F.lit(_EPOCH_2000)) / F.lit(_YEAR_US * half_life_years)
+    power = F.least(F.greatest(F.lit(10.0) + age, F.lit(0.0)), F.lit(56.0))
+    return F.floor(F.coalesce(F.pow(F.lit(2.0), power), F.lit(1.0))).cast("decimal(18,0)")
 
 
 def best_record(df: DataFrame, group: str, tie: str, fields: list[Field]) -> DataFrame:
     """One row per ``group`` with the winning value of every field.
 
     Equal vote sums go to the value whose smallest ``tie`` is smallest; the
-    value delivered is that of the row with the strongest single vote, then
+    value delivered is that of the row with the largest ``order``, then
     the smallest ``tie``.  A group none of whose rows votes for a field gets
     null there; rows with a null group are dropped; an empty table gives an
     empty result.  Redelivered rows must be removed before, they would vote twice.
@@ -67,10 +64,13 @@ def best_record(df: DataFrame, group: str, tie: str, fields: list[Field]) -> Dat
     base = df.filter(F.col(group).isNotNull())
     rows = F.array(
         *(
-            F.struct(F.lit(f.name).alias("field"), f.value.alias("value"), f.key.cast("string").alias("vkey"), f.weight.cast("decimal(38,0)").alias("vote"))
+            F.struct(
+                F.lit(f.name).alias("field"), f.value.alias("value"), f.key.cast("string").alias("vkey"), f.weight.cast("decimal(38,0)").alias("vote"),
+                (f.weight.cast("decimal(38,0)") if f.order is None else f.order).alias("order"),
+            )
             for f in fields
         )
-    )
+    )
     long = base.select(F.col(group).alias("__group"), F.col(tie).alias("__tie"), F.explode(rows).alias("__r")).select(
         "__group", "__tie", "__r.*"
     )
@@ -80,7 +80,7 @@ def best_record(df: DataFrame, group: str, tie: str, fields: list[Field]) -> Dat
         .agg(
             F.sum("vote").alias("votes"),
             F.min("__tie").alias("first"),
-            F.max_by("value", F.struct(F.col("vote"), (-F.col("__tie")).alias("t"))).alias("value"),
+            F.max_by("value", F.struct(F.col("order"), (-F.col("__tie")).alias("t"))).alias("value"),
         )
     )
     winners = votes.groupBy("__group").agg(

@@ -31,6 +31,24 @@ SELECT g.id, name_rec, mentions_rec
 FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) g LEFT JOIN n USING (id) LEFT JOIN m USING (id)
 """
 
+# Votes as in the operator's definition: trust halves per rank, recency per year, summed per normalised value.
+P2C = f"""
+WITH rec AS (
+  SELECT DISTINCT ON (rec_id) rec_id, id, name, normalized_name, entity_type, extraction_method, resolved_at
+  FROM entities WHERE id IS NOT NULL AND rec_id IS NOT NULL),
+r AS (
+  SELECT rec.*, (2 ** (30 - least(30, greatest(1, coalesce(t.trust_rank, 30)))))::BIGINT::HUGEINT
+      * floor(coalesce(2.0::DOUBLE ** least(56.0, greatest(0.0, 10.0 + (epoch_us(resolved_at) - 946684800000000)::DOUBLE / 31556952000000.0::DOUBLE)), 1.0))::HUGEINT AS vote,
+    {D.clean_display(D.no_invisible('name'))} AS shown,
+    {D.name(D.no_invisible('name'))} = normalized_name AND normalized_name <> '' AS ok
+  FROM rec LEFT JOIN {_TRUST} t USING (extraction_method)),
+nv AS (SELECT id, lower(shown) AS k, sum(vote) AS votes, min(rec_id) AS f, first(shown ORDER BY vote DESC, rec_id) AS name FROM r WHERE ok GROUP BY 1, 2),
+n AS (SELECT id, name FROM nv QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, f) = 1),
+tv AS (SELECT id, upper(entity_type) AS k, sum(vote) AS votes, min(rec_id) AS f, first(entity_type ORDER BY vote DESC, rec_id) AS entity_type FROM r WHERE entity_type IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT id, entity_type FROM tv QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, f) = 1)
+SELECT g.id, name, entity_type FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) g LEFT JOIN n USING (id) LEFT JOIN t USING (id)
+"""
+
 P4 = """
 WITH RECURSIVE known AS (SELECT normalized_name, min(id) AS known FROM entities WHERE id IS NOT NULL AND normalized_name IS NOT NULL GROUP BY 1),
 raw AS (
@@ -86,4 +104,4 @@ FROM container_kinds WHERE container IS NOT NULL AND capacity_tokens > 0 GROUP B
 
 P9_CHECKS = "SELECT DISTINCT source, false AS over_used, 0::BIGINT AS strange, false AS off_target FROM mix_targets WHERE source IS NOT NULL"
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p7_found": P7, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS, "p10_found": P10}
+ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p2_consensus": P2C, "p4_found": P4, "p7_found": P7, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS, "p10_found": P10}

@@ -51,16 +51,26 @@ def distinct_mentions(mentions):
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names: records vote for their normalised name with trust times decay, the best record of the winning name delivers it.  Mentions: every
+    different mention of a record is a vote for its list, and the winning list is that of one record by definition."""
     rec = deduplicated_records(spark, sf_dir)
-    own = F.col("rec_id")
+    rank, when = F.coalesce(-F.col("trust_rank"), F.lit(-(2**31))), F.unix_micros(F.col("resolved_at").cast("timestamp"))
+    shown = X.normalize_name(X.without_invisible(F.coalesce("name", F.lit(""))))
     vote = golden.trust(F.col("trust_rank")) * golden.decay(F.col("resolved_at"))
-    full = golden.completeness(F.size(distinct_mentions(F.col("mentions"))), F.col("resolved_at"))
-    fields = [
-        golden.Field("name_rec", own, own, F.when(usable_name(F.col("name"), F.col("normalized_name")), vote)),
-        golden.Field("mentions_rec", own, own, full),
-    ]
-    best = golden.best_record(rec, "id", "rec_id", fields)
-    return best.join(shared_ids(rec), "id", "left_semi").select("id", "name_rec", "mentions_rec")
+    names = golden.Field(
+        "name_rec", F.col("rec_id"), shown, F.when(usable_name(F.col("name"), F.col("normalized_name")), vote), F.struct(rank.cast("long").alias("a"), when.alias("b"))
+    )
+    by_name = golden.best_record(rec, "id", "rec_id", [names])
+    # One row per mention: the votes of a list add up over its mentions.  A list of none keeps a vote of 0.
+    lists = rec.select("id", "rec_id", when.alias("at"), F.explode_outer(distinct_mentions(F.col("mentions"))).alias("mention"))
+    full = golden.Field("mentions_rec", F.col("rec_id"), F.col("rec_id"), F.col("mention").isNotNull().cast("int"), F.struct(F.lit(0).cast("long").alias("a"), F.col("at").alias("b")))
+    by_list = golden.best_record(lists.withColumn("latest", rank_of_time(F.col("at"), F.col("rec_id"))), "id", "latest", [full])
+    return by_name.join(by_list, "id").join(shared_ids(rec), "id", "left_semi").select("id", "name_rec", "mentions_rec")
+
+
+def rank_of_time(at, rec_id):
+    """A tie that is smallest for the latest time (null is oldest), then for the smallest record: one sortable whole number."""
+    return F.coalesce(-at, F.lit(2**62)).cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + rec_id.cast("decimal(19,0)")
 
 
 def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
