@@ -60,7 +60,7 @@ def test_two_cuts_find_what_one_finds(spark):
     one = found(spark, rows, 3, 0.8)
     two = found(spark, rows, 3, 0.8, neighbours.Plan(sample=400, sample_per_part=80, part_rows=40, probes=6, block=16, queries=64))
     assert len(set(one) & set(two)) >= 0.95 * len(one)
-    router = neighbours.Router(np.eye(4, dtype=np.float32), np.zeros(4, np.float32), {1: (np.ones((4, 3), np.float32), np.zeros(3, np.float32))})
+    router = neighbours.Router(10 * np.eye(4, dtype=np.float32), np.zeros(4, np.float32), {1: (np.ones((4, 3), np.float32), np.zeros(3, np.float32))})
     assert router.first().tolist() == [0, 1, 4, 5, 6]
     best = router.most_probable(np.eye(4, dtype=np.float32), 2)
     assert best[0, 0] == 0 and best[1, 0] in (1, 2, 3) and best[2, 0] == 4 and best[3, 0] == 5
