@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from veriloom.functions import text as X
 from veriloom.operators import events as EV
 from veriloom.operators import graph as G
 from veriloom.operators import pages as P
@@ -191,10 +192,86 @@ def test_streaming_ingest(spark, sf, tmp_path):
     raw.filter("ord % 2 = 1").write.mode("append").parquet(f"{tmp_path}/in")
     run()
     last = max(p.name for p in (tmp_path / "out").iterdir())
-    got = spark.read.parquet(f"{tmp_path}/out/{last}")
+    got = spark.read.parquet(f"{tmp_path}/out/{last}/edges")
     assert got.count() == merge_relations(raw).count()
 
 
+def test_merge_clusters(spark):
+    rows = [
+        ("c", 1, "Priya", "priya", "NOUN_PHRASE", ["Priya"], [], ["a.pdf"], [1], ["s1", ""]), ("c", 2, "Priya Singh", "priya singh", "PERSON", ["Priya", "P."], ["PS"], ["b.pdf", "a.pdf"], [2, 1], ["s2"]),
+        ("c", 3, "Priya", "priya", "ORG", None, None, None, None, None), ("d", 4, None, "x", None, ["x"], None, [], None, None),
+    ]
+    df = spark.createDataFrame(rows, "k string, o long, name string, normalized_name string, entity_type string, mentions array<string>, alternative_names array<string>, documents array<string>, pages array<int>, sentences array<string>")
+    got = {r.k: r for r in R.merge_clusters(df, "k", ["o"]).collect()}
+    c = got["c"]
+    assert (c.name, c.entity_type, c.normalized_name, c.records) == ("Priya Singh", "PERSON", "priya", 3)
+    assert c.mentions == ["Priya", "P."] and c.documents == ["a.pdf", "b.pdf"] and c.pages == [1, 2] and c.sentences == ["s1", "s2"] and set(c.alternative_names) == {"Priya", "Priya Singh", "PS"}
+    assert got["d"].name == "" and got["d"].mentions == ["x"]
+    assert R.merge_clusters(df.limit(0), "k", ["o"]).count() == 0
+
+
+def test_chains_of_overlaps_and_idle_chunks(spark):
+    schema = "doc string, sent int, first int, last int, label string, text string"
+    none = spark.createDataFrame([], schema)
+    chunks = spark.createDataFrame([("d", 0, 0, 3, "", "one long chunk"), ("d", 0, 2, 5, "", "chunk in between"), ("d", 0, 4, 6, "", "third chunk"), ("d", 0, 7, 8, "", "they")], schema)
+    tokens = spark.createDataFrame([("d", 0, 7, "PRON", False), ("d", 0, 0, "NOUN", False)], "doc string, sent int, i int, pos string, is_stop boolean")
+    assert sorted(r.text for r in N.kept_spans(none, chunks, tokens=tokens).collect()) == ["one long chunk", "third chunk"]
+    assert N.kept_spans(none, none).count() == 0
+
+
+def test_subject_with_code_and_flags(spark):
+    df = spark.createDataFrame([("The amount", ["no code", "Loan LN30002 and CA7"]), ("The amount (x)", ["LN1"]), ("LN1 amount", ["LN1"]), ("The amount", [])], "s string, h array<string>")
+    assert [r[0] for r in df.select(N.with_code(F.col("s"), F.lit("be"), F.col("h"))).collect()] == ["The amount (CA7)", "The amount (x)", "LN1 amount", "The amount"]
+    assert not X.switched_on("No") and not X.switched_on(False) and X.switched_on("yes") and X.switched_on(None) and not X.switched_on(None, False)
+
+
+def test_store(spark, tmp_path):
+    from veriloom.operators import graph as G
+    from veriloom.sources import store as ST
+
+    base = {"document": "a.pdf", "page_number": 1, "subject_id": "e1", "object_id": "e2", "sentence": "s", "confidence": 0.9, "event_date": "5 May 2024"}
+    records = spark.createDataFrame([(1, "e1", "A", "a", "ORG", ["A"], [], ["a.pdf"], [1]), (2, "e2", "B", "b", "ORG", ["B"], [], ["a.pdf", "b.pdf"], [2])],
+        "rec_id long, id string, name string, normalized_name string, entity_type string, mentions array<string>, alternative_names array<string>, documents array<string>, pages array<int>")
+    one, two = rel(spark, base), rel(spark, {**base, "document": "b.pdf", "sentence": "t"})
+    root, vectors = f"{tmp_path}/g", f"{tmp_path}/v"
+    assert ST.read_graph(spark, root) is None and ST.read_points(spark, vectors) is None
+    assert ST.store_graph(G.build_graph(records, one), root)["edges"] == 1
+    assert ST.store_graph(G.build_graph(records, two), root)["edges"] == 1
+    edge = ST.read_graph(spark, root).edges.first()
+    assert edge.told == 2 and edge.source_documents == ["a.pdf", "b.pdf"] and edge.evidence == ["s", "t"] and ST.versions(spark, root) == [0, 1]
+    assert ST.store_points(ST.points(one, dims=8), vectors, 8) == 1 and ST.store_points(ST.points(two, dims=8), vectors, 8) == 2
+    assert ST.store_points(ST.points(two, dims=16), vectors, 16) == 1  # points of another length can't stay
+    counts = ST.delete_everywhere(spark, "b.pdf", root, vectors)
+    assert counts["points_deleted"] == 1 and counts["relations_scrubbed"] == 2 and ST.read_graph(spark, root).edges.first().source_documents == ["a.pdf"]
+    ST.clear_graph(spark, root)
+    assert ST.read_graph(spark, root).edges.count() == 0
+    files = spark.createDataFrame([("x", "1"), ("y", None)], ST.MANIFEST)
+    assert ST.read_manifest(spark, f"{tmp_path}/m").count() == 0
+    ST.write_manifest(files, f"{tmp_path}/m")
+    now = spark.createDataFrame([("x", "1"), ("x2", "1"), ("y", None)], ST.MANIFEST)
+    assert sorted(r.path for r in ST.fresh_files(now, ST.read_manifest(spark, f"{tmp_path}/m")).collect()) == ["x2", "y"] and ST.fresh_files(now, files, force=True).count() == 3
+    answers = ST.question_battery(one, [(1, "subject s?", "zzz")])
+    assert answers[0]["hit"] is False and set(answers[0]) == {"id", "question", "expected", "answer", "hit", "facts"}
+
+
+def test_ingest_pages(spark, tmp_path):
+    from veriloom.plans import pipeline
+    from veriloom.sources import store as ST
+
+    def parser():
+        words = [("Acme", "PROPN", "nsubj", 1), ("leased", "VERB", "ROOT", 1), ("Pump", "PROPN", "dobj", 1), (".", "PUNCT", "punct", 1)]
+        return lambda t: [(0, i, w, "lease" if p == "VERB" else w, p, d, h, 0, 0) for i, (w, p, d, h) in enumerate(words)]
+
+    def spans(tokens):
+        ents = tokens.filter("pos = 'PROPN'").select("doc", "sent", F.col("i").alias("first"), (F.col("i") + 1).alias("last"), F.lit("ORG").alias("label"), "text")
+        return ents, ents.limit(0)
+
+    pages = spark.createDataFrame([("a.pdf", 1, "Acme leased Pump."), ("b.pdf", 2, " "), (None, 3, "x")], "document string, page_number int, text string")
+    g, stats = pipeline.ingest_pages(pages, parser, spans, events=False, store=f"{tmp_path}/g", export=f"{tmp_path}/out")
+    assert stats.first().linked_relations == 1 and g.edges.first().predicate == "lease" and g.edges.first().source_documents == ["a.pdf"] and g.events.count() == 0
+    assert ST.read_graph(spark, f"{tmp_path}/g").entities.count() == 2
+
+
 def test_pipeline(spark):
     from veriloom.plans import pipeline
 

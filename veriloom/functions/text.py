@@ -164,6 +164,16 @@ def point_id(document: Column, sentence: Column, predicate: Column) -> Column:
     )
 
 
+def switched_on(value, default: bool = True) -> bool:
+    """A setting that may be a flag or a word: off are false, 0 and no in any case; a missing one takes the default."""
+    return default if value is None else str(value).lower() not in V.OFF_WORDS
+
+
+def either(*names: str) -> Column:
+    """The first of several columns that is neither null nor empty (exports and stores name the same thing differently)."""
+    return F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in names))
+
+
 def entity_like(c: Column) -> Column:
     """A question that names something: an identifier code or a quoted text."""
     return (F.size(id_codes(c)) > 0) | F.coalesce(c, F.lit("")).rlike("[\"'][^\"']+[\"']")

@@ -43,23 +43,26 @@ INVISIBLE_CHARS = "".join(
 )
 EDGE_CHARS = "\"'()[]{}.,;:!?"
 
-# Identifier families a demonstrative noun ("this loan") may stand for.
+# Identifier families a demonstrative noun ("this loan") may stand for ([0-9] and [A-Za-z0-9_] because \d and \w differ between engines).
 CODE_FAMILIES = {
     "account": "(?:SA|CA)[0-9]+",
-    "action": "(?:CAPA|NCR)[-0-9][A-Za-z0-9_-]*",
+    "loan": "LN[0-9]+",
     "batch": "(?:PO|NCR)[-0-9][A-Za-z0-9_-]*",
-    "branch": "BR[0-9]+",
     "case": "CS[-0-9][A-Za-z0-9_-]*",
-    "customer": "CUST[0-9]+",
-    "equipment": "(?:RG|LS)-[A-Z]+-[0-9]+",
-    "loan": "LN[0-9]+",
-    "machine": "(?:RG|LS)-[A-Z]+-[0-9]+",
-    "motor": "(?:LS|RG)-[A-Z]+-[0-9]+",
-    "order": "PO[-0-9][A-Za-z0-9_-]*",
     "report": "(?:NCR|CAPA)[-0-9][A-Za-z0-9_-]*",
+    "action": "(?:CAPA|NCR)[-0-9][A-Za-z0-9_-]*",
+    "machine": "(?:RG|LS)-[A-Z]+-[0-9]+",
+    "equipment": "(?:RG|LS)-[A-Z]+-[0-9]+",
+    "branch": "BR[0-9]+",
+    "customer": "CUST[0-9]+",
     "transaction": "TXN[0-9]+",
+    "order": "PO[-0-9][A-Za-z0-9_-]*",
+    "motor": "(?:LS|RG)-[A-Z]+-[0-9]+",
 }
+# Nouns that end a job title.
 TITLE_NOUNS = (
-    "administrator analyst assistant associate chairman chief clerk consultant coordinator director engineer head lead manager "
-    "officer partner planner president secretary specialist supervisor technician"
+    "lead manager director officer engineer technician planner head chief supervisor coordinator administrator "
+    "analyst consultant specialist president chairman secretary partner associate assistant clerk"
 ).split()
+# What switches a setting off.
+OFF_WORDS = ("false", "0", "no")

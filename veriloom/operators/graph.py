@@ -73,6 +73,69 @@ def build_graph(records: DataFrame, relations: DataFrame) -> Graph:
     return Graph(entities, edges, merge_events(told), participants(told), contains, pages)
 
 
+# ---- upserts onto a stored graph ---------------------------------------------------------------------------------------
+
+def _both(old: DataFrame, new: DataFrame, key: list[str], how: dict[str, object]) -> DataFrame:
+    """Full outer merge by ``key``: a column without a rule stays as the older row has it."""
+    o, n = old.alias("o"), new.alias("n")
+    known = F.col(f"o.{key[0]}").isNotNull()
+    joined = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
+    return joined.select(*(
+        how[c](F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c in how else F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns
+    ))
+
+
+def _moved(o: Column, n: Column) -> Column:
+    """(old minus new) ++ new; one side alone stays as it is."""
+    return F.when(o.isNull(), n).when(n.isNull(), o).otherwise(F.concat(F.array_except(o, n), n))
+
+
+def _absent(o: Column, n: Column) -> Column:
+    """old ++ what is absent from it."""
+    return F.when(o.isNull(), n).when(n.isNull(), o).otherwise(F.concat(o, F.array_except(n, o)))
+
+
+def _added(o: Column, n: Column) -> Column:
+    return F.coalesce(o, F.lit(0)) + F.coalesce(n, F.lit(0))
+
+
+def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """On a known id name, type and pages stay, list values move to the end."""
+    return _both(old, new, ["id"], {"mentions": _moved, "alternative_names": _moved, "documents": _moved, "records": _added})
+
+
+def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    return _both(old, new, ["name"], {"pages": _moved})
+
+
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Lists append what is absent, confidence takes the maximum, other scalars stay with the older edge."""
+    most = lambda o, n: F.greatest(o, n)
+    return _both(old, new, ["sid", "type", "oid", "predicate", "negated"], {"evidence": _absent, "source_documents": _absent, "pages": _absent, "confidence": most, "told": _added})
+
+
+def upsert_events(old: DataFrame, new: DataFrame) -> DataFrame:
+    return _both(old, new, ["id"], {"documents": _absent, "evidence": _absent, "told": _added})
+
+
+def upsert_graph(old: Graph, new: Graph) -> Graph:
+    """All six tables; links are added if absent."""
+    return Graph(
+        upsert_entities(old.entities, new.entities), merge_edges(old.edges, new.edges), upsert_events(old.events, new.events),
+        old.participates.unionByName(new.participates).distinct(), old.contains.unionByName(new.contains).distinct(), upsert_documents(old.documents, new.documents),
+    )
+
+
+def clear(g: Graph) -> Graph:
+    """The same tables without rows."""
+    return Graph(*(df.limit(0) for df in (g.entities, g.edges, g.events, g.participates, g.contains, g.documents)))
+
+
+def document_exists(g: Graph, name: str) -> DataFrame:
+    """n: 1 if the graph holds a document of this name, else 0."""
+    return g.documents.filter(F.col("name") == name).agg(F.count("*").alias("n"))
+
+
 # ---- reads -------------------------------------------------------------------------------------------------------------
 
 def named_edges(g: Graph) -> DataFrame:

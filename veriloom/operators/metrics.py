@@ -58,5 +58,29 @@ def quality_gates(entities: DataFrame, relations: DataFrame, max_noun_phrase_rat
     )
 
 
+def service_metrics(entities: DataFrame | None, relations: DataFrame | None) -> DataFrame | None:
+    """One row: entities, relations, avg_confidence (three decimals, 0 without relations); -1 where nothing was exported yet, then without an average."""
+    if entities is None or relations is None:
+        known = entities if entities is not None else relations
+        if known is None:
+            return None
+        return known.agg(F.lit(-1).cast("long").alias("entities"), F.lit(-1).cast("long").alias("relations"), F.lit(None).cast("double").alias("avg_confidence"))
+    e = entities.agg(F.count("*").alias("entities"))
+    r = relations.agg(F.count("*").alias("relations"), F.coalesce(F.round(F.avg(F.coalesce(good(), F.lit(0.5)).cast("decimal(18,6)")).cast("double"), 3), F.lit(0.0)).alias("avg_confidence"))
+    return side_by_side(e, r)
+
+
+def status_counts(relations: DataFrame) -> DataFrame:
+    """status, n; a missing status is '?'."""
+    return relations.groupBy(F.coalesce("review_status", F.lit("?")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """metric, before, after, delta of two one-row results with the same numeric columns."""
+    long = lambda df, name: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in df.columns))).alias("m")).select("m.*")
+    both = long(before, "before").join(long(after, "after"), "metric")
+    return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 6))
+
+
 def badge(c: Column) -> Column:
     return F.when(c < 0.6, "low").when(c < 0.8, "medium").otherwise("high")

@@ -11,13 +11,6 @@ from veriloom.functions import vocab as V
 from veriloom.session import materialize
 
 
-def ordered_distinct(value: str, order: str) -> Column:
-    """Aggregate: the distinct non-null values in order of first use."""
-    return F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))), lambda x: x["v"]
-    )
-
-
 def canonical_groups(mentions: DataFrame) -> DataFrame:
     """id, normalized_name, entity_type, name, mentions, documents, pages, sentences, first_ord of mention groups.
 
@@ -32,12 +25,14 @@ def canonical_groups(mentions: DataFrame) -> DataFrame:
     base = m.groupBy(*key).agg(
         F.max_by("text", F.struct(F.length("text"), (-F.col("ord")).alias("o"))).alias("name"), F.min("ord").alias("first_ord"), F.count("*").alias("n_mentions")
     )
-    out = base
-    for col, name in (("text", "mentions"), ("document", "documents"), ("page_number", "pages"), ("sentence", "sentences")):
-        one = m.filter(F.col(col).isNotNull() & (F.col(col).cast("string") != "")).groupBy(*key, col).agg(F.min("ord").alias("o"))
-        lists = one.groupBy(*key).agg(ordered_distinct(col, "o").alias(name))
-        out = out.join(lists, key, "left")
-    return out.withColumn("id", X.entity_id(F.col("entity_type"), F.col("normalized_name")))
+    # One long table of all list values, aggregated once.
+    names = {"text": "mentions", "document": "documents", "page_number": "pages", "sentence": "sentences"}
+    values = F.array(*(F.struct(F.lit(name).alias("f"), F.col(c).cast("string").alias("v")) for c, name in names.items()))
+    long = m.select(*key, "ord", F.explode(values).alias("l")).select(*key, "ord", "l.*").filter(F.col("v").isNotNull() & (F.col("v") != ""))
+    once = long.groupBy(*key, "f", "v").agg(F.min("ord").alias("o"))
+    in_order = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("o", "v")))), lambda x: x["v"])
+    lists = once.groupBy(*key).agg(*(in_order(f).alias(f) for f in names.values())).withColumn("pages", F.col("pages").cast("array<int>"))
+    return base.join(lists, key, "left").withColumn("id", X.entity_id(F.col("entity_type"), F.col("normalized_name")))
 
 
 def _tokens_of(groups: DataFrame) -> DataFrame:
@@ -175,6 +170,42 @@ def greedy_clusters(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInPandas(replay, "id string, leader string").union(alone)
 
 
+def merge_clusters(members: DataFrame, cluster: str, order: list[str]) -> DataFrame:
+    """One record per cluster of records, taken in ``order`` (the first is the target the others are merged into).
+
+    members: name, normalized_name, entity_type, mentions, alternative_names, documents, pages, sentences.  The longest name wins, the
+    first of equals; an untyped target takes the first type that is not NOUN_PHRASE; lists are united in order; names that
+    did not win become alternatives (as does the winner, if it came later than the target), and the id follows normal form and type of the target.
+    """
+    place = F.struct(*order)
+    m = members.withColumn("_o", place).withColumn("_name", F.coalesce("name", F.lit("")))
+    typed = F.when(F.col("entity_type") != "NOUN_PHRASE", F.col("entity_type"))
+    out = m.groupBy(cluster).agg(
+        F.min_by("normalized_name", "_o").alias("normalized_name"), F.min_by("_name", "_o").alias("_first"), F.max(F.length("_name")).alias("_len"),
+        F.min_by("entity_type", "_o").alias("_type"), F.min_by(typed, F.when(typed.isNotNull(), F.col("_o"))).alias("_typed"), F.count("*").alias("records"),
+    )
+    longest = m.select(cluster, "_name", "_o", F.length("_name").alias("_len")).join(out.select(cluster, "_len"), [cluster, "_len"])
+    out = out.join(longest.groupBy(cluster).agg(F.min_by("_name", "_o").alias("name")), cluster)
+    out = out.withColumn("entity_type", F.when(F.col("_type") == "NOUN_PHRASE", F.coalesce("_typed", "_type")).otherwise(F.col("_type")))
+    # One long table of all list values, aggregated once: (cluster, field, value) with its first place.
+    empty = F.array().cast("array<string>")
+    text = lambda c: F.coalesce(F.col(c).cast("array<string>"), empty)
+    lists = F.array(*(
+        F.struct(F.lit(f).alias("f"), c.alias("v")) for f, c in
+        (("mentions", text("mentions")), ("documents", text("documents")), ("pages", text("pages")), ("sentences", text("sentences")),
+         ("alternative_names", F.concat(F.array("_name"), text("alternative_names"))))
+    ))
+    long = m.select(cluster, "_o", F.explode(lists).alias("l")).select(cluster, "_o", "l.f", F.posexplode("l.v").alias("_p", "v"))
+    long = long.filter(F.col("v").isNotNull() & ~((F.col("f") == "sentences") & (F.col("v") == ""))).groupBy(cluster, "f", "v").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    ends = out.select(cluster, "_first", "name")
+    long = long.join(ends, cluster).filter((F.col("f") != "alternative_names") | (F.col("v") != F.col("_first")) | (F.col("name") != F.col("_first")))
+    in_order = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("_at", "v")))), lambda x: x["v"])
+    names = ("mentions", "alternative_names", "documents", "pages", "sentences")
+    united = long.groupBy(cluster).agg(*(in_order(f).alias(f) for f in names)).withColumn("pages", F.col("pages").cast("array<int>"))
+    out = out.drop("_first", "_len", "_type", "_typed").join(united, cluster, "left")
+    return out.withColumn("id", X.entity_id(F.col("entity_type"), F.col("normalized_name")))
+
+
 def mention_index(entities: DataFrame) -> DataFrame:
     """key, id: what an endpoint text may be looked up by.
 
@@ -199,6 +230,17 @@ def link_relations(relations: DataFrame, index: DataFrame) -> DataFrame:
     return out
 
 
+def endpoint_places(linked: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, document, page of entities that an unlinked endpoint matches by normal form: the first entity of it gets the place of the relation.
+
+    entities: id, normalized_name, pos (list position).
+    """
+    first = entities.groupBy("normalized_name").agg(F.min_by("id", "pos").alias("id"))
+    ends = linked.filter("subject_id is null").select("subject_text", "document", "page_number").union(linked.filter("object_id is null").select("object_text", "document", "page_number"))
+    ends = ends.toDF("text", "document", "page").withColumn("normalized_name", X.normalize_name(F.col("text"))).filter("normalized_name <> ''")
+    return ends.join(first, "normalized_name").select("id", "document", "page").distinct()
+
+
 def placeholders(linked: DataFrame, entities: DataFrame, max_chars: int = 80) -> DataFrame:
     """normalized_name, id, name: new untyped nodes for unlinked endpoints, the first text in relation order giving the name."""
     ends = linked.filter("subject_id is null").select("ord", F.lit(0).alias("side"), F.col("subject_text").alias("text")).union(

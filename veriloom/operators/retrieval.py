@@ -86,6 +86,48 @@ def hop_expand_graph(seeds: DataFrame, edges: DataFrame, per_end: int = 6, enoug
     return hit.join(open_ends, ["rank", "side"]).select("rank", "side", "n", F.col("x").alias("subject"), "predicate", F.col("y").alias("object"), "confidence")
 
 
+def graph_facts(named: DataFrame, limit: int = 2000) -> DataFrame:
+    """Facts of the edges of a graph, the first ``limit`` by edge_id: the keyword path over the graph (the first evidence counts)."""
+    top = named.orderBy("edge_id").limit(limit)
+    return top.select(
+        F.col("edge_id").alias("ord"), "subject", "predicate", "object", F.get("evidence", F.lit(0)).alias("evidence"), F.col("source_document").alias("document"),
+        F.col("page_number").alias("page"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
+    )
+
+
+def vector_facts(points: DataFrame, query: list[float], k: int = 8) -> DataFrame:
+    """The facts of the k points most similar to a vector, with score and id."""
+    near = vector_topk(points, "id", "vector", query, k).join(points.select("id", "payload").dropDuplicates(["id"]), "id")
+    return near.select(
+        "id", "score", F.lit(None).cast("long").alias("ord"), "payload.subject", "payload.predicate", "payload.object", "payload.evidence", "payload.document", "payload.page",
+        F.coalesce(F.when(F.isnan("payload.confidence"), F.lit(None)).otherwise(F.col("payload.confidence")), F.lit(0.5)).alias("confidence"),
+    )
+
+
+def hybrid(keyword: DataFrame, vector: DataFrame | None, all_facts: DataFrame, k: int = 8, max_extra: int = 6) -> DataFrame:
+    """place, the facts and inferred: keyword and vector hits as one list cut to k, then the facts one step from it.
+
+    keyword: ranked keyword facts; vector: ``vector_facts`` or nothing.  A triple is listed once, where it stands first.
+    """
+    lists = [keyword.withColumn("inferred", F.lit(False))]
+    if vector is not None:
+        lists.append(ranked(vector, F.col("score").desc(), "id").withColumn("inferred", F.lit(False)))
+    cols = ["ord", "subject", "predicate", "object", "evidence", "document", "page", "confidence", "inferred"]
+    seeds = merged([x.select("rank", *cols) for x in lists]).filter(F.col("place") <= k).select(F.col("place").alias("rank"), *cols)
+    hops = ranked(hop_expand(seeds, all_facts, max_extra), "ord").withColumn("inferred", F.lit(True)).select("rank", *cols)
+    return merged([seeds, hops])
+
+
+def strategy(question: str, keyword_hits: int, vector_hits: int) -> str:
+    """Which lists an answer stands on, and which of them the question leans to."""
+    import re
+
+    named = bool(re.search(r"(?<![A-Za-z0-9_])[A-Z]{2,}[-/]?[0-9]", question or "") or re.search('"[^"]+"', question or ""))
+    if keyword_hits and vector_hits:
+        return "hybrid" + ("+entity-first" if named else "+semantic-first")
+    return "vector" if vector_hits else "graph"
+
+
 def context_lines(ranked_facts: DataFrame, max_chars: int = 4000) -> DataFrame:
     """One row: the numbered, cited lines of a ranked list, cut to ``max_chars``."""
     tag = F.when(F.coalesce(F.col("inferred"), F.lit(False)), "INFERRED (2-hop neighbor, weaker)").otherwise("EXPLICIT") if "inferred" in ranked_facts.columns else F.lit("EXPLICIT")

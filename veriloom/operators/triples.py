@@ -26,12 +26,18 @@ NOMINAL = ["NOUN", "PROPN", "PRON", "NUM"]
 TOKEN_SCHEMA = "doc string, sent int, i int, text string, lemma string, pos string, dep string, head int, start_char int, end_char int"
 
 
+#: Parsers of this worker process by the name of their maker: building one is far dearer than a batch.
+_PARSERS: dict[str, Callable[[str], list[tuple]]] = {}
+
+
 def parse(pages: DataFrame, key: str, text: str, make_parser: Callable[[], Callable[[str], list[tuple]]]) -> DataFrame:
-    """Token table of the non-blank texts; ``make_parser`` runs once per worker and returns a function
+    """Token table of the non-blank texts; ``make_parser`` runs once per worker process and returns a function
     text -> rows of (sent, i, text, lemma, pos, dep, head, start_char, end_char)."""
 
+    name = f"{make_parser.__module__}.{make_parser.__qualname__}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = make_parser()
+        parser = _PARSERS.get(name) or _PARSERS.setdefault(name, make_parser())
         names = "sent i text lemma pos dep head start_char end_char".split()
         for pdf in batches:
             out = []
@@ -46,18 +52,41 @@ def parse(pages: DataFrame, key: str, text: str, make_parser: Callable[[], Calla
     return solid.mapInPandas(run, TOKEN_SCHEMA)
 
 
-def kept_spans(entities: DataFrame, chunks: DataFrame, drop: list[str] | None = None, max_chars: int = 80) -> DataFrame:
-    """Entity spans of kept labels, and noun chunks that overlap none of them nor an earlier kept chunk."""
+def empty_chunks(chunks: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The chunks (doc, sent, first, last) all of whose words are pronouns or stop words (tokens: doc, sent, i, pos, is_stop)."""
+    inside = chunks.select("doc", "sent", "first", "last").join(tokens.filter("pos <> 'PUNCT'").select("doc", "sent", "i", "pos", "is_stop"), ["doc", "sent"])
+    inside = inside.filter((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))
+    idle = F.coalesce("is_stop", F.lit(False)) | (F.col("pos") == "PRON")
+    return inside.groupBy("doc", "sent", "first", "last").agg(F.min(idle).alias("idle")).filter("idle").drop("idle")
+
+
+def first_free(chunks: DataFrame) -> DataFrame:
+    """Per doc, in the order of their start, the chunks that overlap no chunk kept before them (a chunk that was dropped is in nobody's way).
+
+    The spans of one page are folded in one row: a page is the unit the parser reads whole.
+    """
+    order = F.array_sort(F.collect_list(F.struct("first", "last", "sent", "label", "text")))
+    rows = chunks.groupBy("doc").agg(order.alias("c"))
+    start = F.slice("c", 1, 1)
+    fold = F.aggregate(F.slice("c", F.lit(2), F.size("c")), start, lambda kept, x: F.when(x["first"] >= F.element_at(kept, -1)["last"], F.concat(kept, F.array(x))).otherwise(kept))
+    return rows.select("doc", F.explode(fold).alias("x")).select("doc", "x.*")
+
+
+def kept_spans(entities: DataFrame, chunks: DataFrame, drop: list[str] | None = None, max_chars: int = 80, tokens: DataFrame | None = None) -> DataFrame:
+    """Entity spans of kept labels, and noun chunks that overlap none of them nor an earlier kept chunk.
+
+    With ``tokens`` (doc, sent, i, pos, is_stop) chunks of pronouns and stop words alone are left out.
+    """
     shown = X.clean_display(F.col("text"))
     ok = (F.length(shown).between(2, max_chars)) & ~X.is_generic(shown)
     ents = entities.filter(~F.col("label").isin(V.DROPPED_TYPES if drop is None else drop) & (F.length(shown) <= max_chars) & ~X.is_generic(shown))
     cols = ["doc", "sent", "first", "last", "label", "text"]
     cand = chunks.filter(ok & (F.col("last") - F.col("first")).between(1, 4)).withColumn("label", F.lit("NOUN_PHRASE")).select(cols)
+    if tokens is not None:
+        cand = cand.join(empty_chunks(cand, tokens), ["doc", "sent", "first", "last"], "left_anti")
     e = ents.select(F.col("doc").alias("d"), F.col("first").alias("f"), F.col("last").alias("l"))
     free = cand.join(e, (F.col("doc") == F.col("d")) & (F.col("first") < F.col("l")) & (F.col("last") > F.col("f")), "left_anti")
-    before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    free = free.withColumn("reach", F.max("last").over(before)).filter(F.col("reach").isNull() | (F.col("first") >= F.col("reach"))).drop("reach")
-    return ents.select(cols).union(free)
+    return ents.select(cols).union(first_free(free).select(cols))
 
 
 def phrases(tokens: DataFrame, max_span: int = 6) -> DataFrame:
@@ -134,6 +163,22 @@ def resolve_demonstrative(endpoint: Column, history: Column) -> Column:
     return out
 
 
+def with_code(subject: Column, lemma: Column, history: Column) -> Column:
+    """The subject of an amount ("The sanctioned amount was ...") with the nearest code behind it in brackets.
+
+    ``history``: sentences, nearest first.  Only under the verb be, where the subject holds neither brackets nor that code.
+    """
+    code = F.try_element_at(F.filter(F.transform(history, lambda s: F.try_element_at(X.id_codes(s), F.lit(-1))), lambda c: c.isNotNull()), F.lit(1))
+    fits = (F.lower(lemma) == "be") & ~F.contains(subject, F.lit("(")) & ~F.contains(F.lower(subject), F.lower(code))
+    return F.when(fits, F.concat(subject, F.lit(" ("), code, F.lit(")"))).otherwise(subject)
+
+
+def title_relations(found: DataFrame) -> DataFrame:
+    """subject_text, predicate, object_text, confidence, extraction_method of ``titles``: a person bears a title."""
+    return found.select("doc", "sent", F.col("person").alias("subject_text"), F.lit("title").alias("predicate"), F.col("title").alias("object_text"),
+        F.lit(0.85).alias("confidence"), F.lit("title_pattern").alias("extraction_method"))
+
+
 def _hits(history: Column, pattern: Column) -> Column:
     return F.flatten(F.transform(history, lambda s: F.regexp_extract_all(s, pattern, F.lit(0))))
 

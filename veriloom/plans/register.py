@@ -18,11 +18,14 @@ from veriloom.operators import metrics as M
 from veriloom.operators import pages as P
 from veriloom.operators import resolution as R
 from veriloom.operators import retrieval as T
+from veriloom.operators import triples as TR
 from veriloom.operators import validation as VA
 from veriloom.plans import duck as D
 from veriloom.plans.catalog import query
 from veriloom.session import side_by_side
+from veriloom.sources import store as ST
 from veriloom.sources import tables as S
+from veriloom.sources.exports import relation_rows
 
 QUESTION = "Who leased warehouses from Samuel Chalgerimark for spare parts?"
 HUB_NAME = "samuel chalgerimark"
@@ -254,6 +257,35 @@ def evidence_date(spark: SparkSession, d: str) -> DataFrame:
     return VA.attach_dates(rel(spark, d)).select("ord", "event_date")
 
 
+_DATED = "dm AS (SELECT sentence, ord, nullif(regexp_extract(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9_])([0-9]{1,2}[ \\t\\n]+(?:" + "|".join(V.MONTHS) + ")[ \\t\\n]+[0-9]{4})([^A-Za-z0-9_]|$)', 2), '') AS date FROM men WHERE sentence IS NOT NULL), dd1 AS (SELECT sentence, arg_min(date, ord) AS date FROM dm WHERE date IS NOT NULL GROUP BY 1)"
+
+
+@query("evidence_date_of_mentions", f"WITH {REL}, {MEN.replace('SELECT DISTINCT ON (ord) *', 'SELECT DISTINCT ON (ord) ord, sentence, sentence AS text')}, {_DATED} SELECT rel.ord, coalesce(nullif(event_date, ''), dd1.date, {_DATE_SQL.replace('sentence', 'rel.sentence')}) AS event_date FROM rel LEFT JOIN dd1 ON dd1.sentence = rel.sentence")
+def evidence_date_of_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Dates that mentions of the same sentence carry (here: found in their sentence) come before the pattern."""
+    m = S.current_mentions(spark, d).filter("sentence is not null").select("sentence", "ord", X.first_date(F.col("sentence")).alias("date")).filter("date is not null")
+    return VA.attach_dates(rel(spark, d), m).select("ord", "event_date")
+
+
+@query(
+    "subject_with_code",
+    f"""WITH {REL}, c AS (SELECT ord, subject_text AS s, nullif(regexp_replace(list_extract(regexp_extract_all(coalesce(sentence, ''), '(?:^|[^A-Za-z0-9_])([A-Z]{{2,}}[-/]?[0-9][A-Za-z0-9_-]*)', 1), -1), '-+$', ''), '') AS code FROM rel)
+SELECT ord, CASE WHEN code IS NOT NULL AND NOT contains(s, '(') AND NOT contains(lower(s), lower(code)) THEN s || ' (' || code || ')' ELSE s END AS subject FROM c""",
+)
+def subject_with_code(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d).select("ord", TR.with_code(F.col("subject_text"), F.lit("be"), F.array("sentence")).alias("subject"))
+
+
+@query("entity_like", f"WITH {REL} SELECT ord, (regexp_matches(coalesce(sentence, ''), '(^|[^A-Za-z0-9_])[A-Z]{{2,}}[-/]?[0-9]') OR regexp_matches(coalesce(sentence, ''), '[\"''][^\"'']+[\"'']')) AS named FROM rel")
+def entity_like(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d).select("ord", X.entity_like(F.col("sentence")).alias("named"))
+
+
+@query("either_name", f"WITH {REL} SELECT ord, coalesce(nullif(subject_id, ''), nullif(subject_text, '')) AS subject, coalesce(nullif(object_id, ''), nullif(object_text, '')) AS object FROM rel")
+def either_name(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d).select("ord", X.either("subject_id", "subject_text").alias("subject"), X.either("object_id", "object_text").alias("object"))
+
+
 @query("entity_ids", f"WITH {GROUPS} SELECT id, entity_type, normalized_name FROM grpid")
 def entity_ids(spark: SparkSession, d: str) -> DataFrame:
     return R.canonical_groups(S.current_mentions(spark, d)).select("id", "entity_type", "normalized_name")
@@ -279,15 +311,20 @@ def point_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "canonical_groups",
-    f"""WITH {GROUPS}, l AS (SELECT {D.canon('text', 'normalized_name')} AS nn, coalesce(entity_type, 'NOUN_PHRASE') AS et, text, document, page_number, sentence FROM men),
+    f"""WITH {GROUPS}, l AS (SELECT {D.canon('text', 'normalized_name')} AS nn, coalesce(entity_type, 'NOUN_PHRASE') AS et, text, document, page_number, sentence, ord FROM men),
+lt AS (SELECT nn, et, string_agg(text, '|' ORDER BY o) AS texts FROM (SELECT nn, et, text, min(ord) AS o FROM l WHERE text <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ld AS (SELECT nn, et, string_agg(document, '|' ORDER BY o) AS documents FROM (SELECT nn, et, document, min(ord) AS o FROM l WHERE document <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
 n AS (SELECT nn, et, count(DISTINCT nullif(text, '')) AS n_texts, count(DISTINCT nullif(document, '')) AS n_documents, count(DISTINCT page_number) AS n_pages, count(DISTINCT nullif(sentence, '')) AS n_sentences FROM l GROUP BY 1, 2)
-SELECT id, name, n_mentions, first_ord, n_texts, n_documents, n_pages, n_sentences FROM grpid JOIN n ON nn = normalized_name AND et = entity_type""",
+SELECT id, name, n_mentions, first_ord, n_texts, n_documents, n_pages, n_sentences, coalesce(texts, '') AS texts, md5(coalesce(documents, '')) AS documents
+FROM grpid JOIN n ON nn = normalized_name AND et = entity_type LEFT JOIN lt USING (nn, et) LEFT JOIN ld USING (nn, et)""",
 )
 def canonical_groups(spark: SparkSession, d: str) -> DataFrame:
     g = R.canonical_groups(S.current_mentions(spark, d))
     size = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0))
     n = {"n_texts": "mentions", "n_documents": "documents", "n_pages": "pages", "n_sentences": "sentences"}
-    return g.select("id", "name", "n_mentions", "first_ord", *(F.greatest(F.lit(0), size(c)).alias(a) for a, c in n.items()))
+    return g.select(
+        "id", "name", "n_mentions", "first_ord", *(F.greatest(F.lit(0), size(c)).alias(a) for a, c in n.items()),
+        joined("mentions", False).alias("texts"), F.md5(joined("documents", False)).alias("documents"))
 
 
 _CT = f"list_distinct(list_filter({D.words('normalized_name')}, lambda t: NOT list_contains({_RSTOP}, t)))"
@@ -332,8 +369,8 @@ INDEX = f"""{_POS}, {_ALTS}, k AS (
 idx AS (SELECT key, arg_max(id, (own, rank, id)) AS id FROM k WHERE key IS NOT NULL GROUP BY key)"""
 
 
-def indexed_entities(spark: SparkSession, d: str) -> DataFrame:
-    e = ent(spark, d)
+def indexed_entities(spark: SparkSession, d: str, only=None) -> DataFrame:
+    e = ent(spark, d) if only is None else ent(spark, d).filter(only)
     one = e.groupBy("id").agg(F.min_by("normalized_name", "rec_id").alias("normalized_name"), F.min("rec_id").alias("pos"))
     names = e.groupBy("id").agg(F.flatten(F.collect_list("alternative_names")).alias("alternative_names"), F.flatten(F.collect_list("mentions")).alias("mentions"))
     return one.join(names, "id")
@@ -356,15 +393,20 @@ def link_relations(spark: SparkSession, d: str) -> DataFrame:
     return linked(spark, d).select("ord", "subject_id", "object_id")
 
 
+PERSONS = LINK.replace("id IS NOT NULL)", "id IS NOT NULL AND entity_type = 'PERSON')", 1)
+
+
 @query(
     "placeholders",
-    f"""WITH {LINK}, u AS (SELECT ord, 0 AS side, subject_text AS text FROM lnk WHERE subject_id IS NULL UNION ALL SELECT ord, 1, object_text FROM lnk WHERE object_id IS NULL),
+    f"""WITH {PERSONS}, u AS (SELECT ord, 0 AS side, subject_text AS text FROM lnk WHERE subject_id IS NULL UNION ALL SELECT ord, 1, object_text FROM lnk WHERE object_id IS NULL),
 un AS (SELECT *, {D.name('text')} AS nn FROM u)
 SELECT nn AS normalized_name, 'entity_' || substr(sha256('NOUN_PHRASE||' || nn), 1, 12) AS id, arg_min(text, (ord, side)) AS name FROM un
 WHERE nn <> '' AND length({STRIP('text')}) <= 80 AND NOT regexp_matches(replace(nn, ' ', ''), '^[0-9]+$') AND nn NOT IN (SELECT normalized_name FROM e1 WHERE normalized_name IS NOT NULL) GROUP BY nn""",
 )
 def placeholders(spark: SparkSession, d: str) -> DataFrame:
-    return R.placeholders(linked(spark, d), indexed_entities(spark, d))
+    """Linked against the persons only, so that the other endpoints are unknown."""
+    known = indexed_entities(spark, d, F.col("entity_type") == "PERSON")
+    return R.placeholders(R.link_relations(rel(spark, d), R.mention_index(known)), known)
 
 
 # ---- history frames -------------------------------------------------------------------------------------------------------------
@@ -416,9 +458,15 @@ def dedup_relations(spark: SparkSession, d: str) -> DataFrame:
     return VA.deduplicate(VA.with_evidence(rel(spark, d))).select("ord", "confidence", "copies")
 
 
-@query("contradictions", f"WITH {DEDUP} SELECT ord, neg FROM ct WHERE contradicted")
+DENIED = DEDUP.replace(f"FROM rel WHERE {STRIP('sentence')} <> '')", f"FROM (SELECT * FROM rel UNION ALL SELECT * REPLACE (-ord - 1 AS ord, NOT coalesce(negated, false) AS negated) FROM rel WHERE extraction_method IS NULL OR predicate LIKE '% %') WHERE {STRIP('sentence')} <> '')")
+
+
+@query("contradictions", f"WITH {DENIED} SELECT ord, neg FROM ct WHERE contradicted")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return VA.contradictions(VA.deduplicate(VA.with_evidence(rel(spark, d)))).filter("contradicted").select("ord", "neg")
+    """Every relation whose predicate has several words is also told the other way round, so that there is something to contradict."""
+    r = rel(spark, d)
+    denied = r.filter("extraction_method is null or predicate like '% %'").withColumns({"ord": -F.col("ord") - 1, "negated": ~F.coalesce("negated", F.lit(False))})
+    return VA.contradictions(VA.deduplicate(VA.with_evidence(r.unionByName(denied)))).filter("contradicted").select("ord", "neg")
 
 
 @query(
@@ -580,6 +628,67 @@ def merge_relations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def halves(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """All rows in two parts by the middle of the key: what was stored first and what comes on top."""
+    middle = df.agg(((F.min(key) + F.max(key)) / 2).cast("long").alias("m")).first().m or 0
+    return df.filter(F.col(key) <= middle), df.filter(F.col(key) > middle)
+
+
+@query(
+    "upsert_entities",
+    f"WITH {NODES} SELECT node.id, name, entity_type, coalesce(mentions, '') AS mentions, coalesce(documents, '') AS documents FROM node LEFT JOIN {_moved('mentions')} m ON m.id = node.id LEFT JOIN {_moved('documents')} d ON d.id = node.id",
+)
+def upsert_entities(spark: SparkSession, d: str) -> DataFrame:
+    old, new = halves(ent(spark, d), "rec_id")
+    out = G.upsert_entities(G.merge_entities(old), G.merge_entities(new))
+    return out.select("id", "name", "entity_type", joined("mentions", False).alias("mentions"), joined("documents", False).alias("documents"))
+
+
+@query("upsert_relations", f"WITH {EDGES} SELECT edge_id, type, confidence, told, n_evidence, n_pages, len({_DOCS}) AS n_documents, source_document FROM edges")
+def upsert_relations(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c, t: F.size(F.coalesce(c, F.array().cast(f"array<{t}>"))).cast("long")
+    old, new = halves(rel(spark, d), "ord")
+    out = G.merge_edges(G.merge_relations(old), G.merge_relations(new))
+    return out.select("edge_id", "type", "confidence", "told", n("evidence", "string").alias("n_evidence"), n("pages", "int").alias("n_pages"), n("source_documents", "string").alias("n_documents"), "source_document")
+
+
+@query(
+    "upsert_events",
+    f"WITH {REL}, {evs('rel')} SELECT eid AS id, arg_min(event_type || ' on ' || event_date, ord) AS name, count(*) AS told, count(DISTINCT document) AS n_documents, count(DISTINCT sentence) AS n_evidence FROM evid GROUP BY 1",
+)
+def upsert_events(spark: SparkSession, d: str) -> DataFrame:
+    old, new = (EV.merge_events(EV.build_events(x)) for x in halves(rel(spark, d), "ord"))
+    n = lambda c: F.coalesce(F.size(F.coalesce(c, F.array().cast("array<string>"))).cast("long"), F.lit(0))
+    return G.upsert_events(old, new).select("id", "name", "told", n("documents").alias("n_documents"), n("evidence").alias("n_evidence"))
+
+
+@query(
+    "merged_records",
+    f"""WITH {ENT}, n AS (SELECT id, first(coalesce(name, '') ORDER BY length(coalesce(name, '')) DESC, rec_id) AS name, arg_min(coalesce(entity_type, chr(0)), rec_id) AS t0,
+  arg_min(entity_type, rec_id) FILTER (WHERE entity_type <> 'NOUN_PHRASE') AS t1, count(*) AS records FROM ent GROUP BY id),
+l AS (SELECT id, rec_id, 'm' AS f, unnest(mentions) AS v, generate_subscripts(mentions, 1) AS p FROM ent UNION ALL SELECT id, rec_id, 'd', unnest(documents), generate_subscripts(documents, 1) FROM ent),
+u AS (SELECT id, f, v, min((rec_id, p)) AS place FROM l WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+j AS (SELECT id, string_agg(v, '|' ORDER BY place) FILTER (WHERE f = 'm') AS mentions, string_agg(v, '|' ORDER BY place) FILTER (WHERE f = 'd') AS documents FROM u GROUP BY 1)
+SELECT n.id, name, CASE WHEN t0 = 'NOUN_PHRASE' THEN coalesce(t1, t0) ELSE nullif(t0, chr(0)) END AS entity_type, records, coalesce(mentions, '') AS mentions, coalesce(documents, '') AS documents FROM n LEFT JOIN j ON j.id = n.id""",
+)
+def merged_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of an id merged as a cluster: longest name, first real type, lists united in order."""
+    e = ent(spark, d).withColumnRenamed("id", "cluster")
+    out = R.merge_clusters(e, "cluster", ["rec_id"])
+    return out.select(F.col("cluster").alias("id"), "name", "entity_type", "records", joined("mentions", False).alias("mentions"), joined("documents", False).alias("documents"))
+
+
+@query("document_exists", f"WITH {ENT}, {CONTAINS} SELECT count(DISTINCT document) AS n FROM contains WHERE document = '{DOC}'")
+def document_exists(spark: SparkSession, d: str) -> DataFrame:
+    return G.document_exists(graph(spark, d), DOC)
+
+
+@query("points_after_delete", f"SELECT id FROM (SELECT DISTINCT ON (id) id, payload FROM kg_evidence WHERE id IS NOT NULL) WHERE payload.document IS DISTINCT FROM '{DOC}'")
+def points_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    stored = S.table(spark, d, "kg_evidence").filter("id is not null").dropDuplicates(["id"])
+    return ST.without_document(stored, DOC).select("id")
+
+
 @query("contains_links", f"WITH {ENT}, {CONTAINS} SELECT document, entity_id FROM contains")
 def contains_links(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).contains
@@ -684,16 +793,37 @@ def hop_expand_graph(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("rank").cast("long").alias("rank"), "side", "subject", "predicate", "object")
 
 
-HYBRID = f"""{HOP}, al AS (SELECT 0 AS l, rank AS r, ord, subject, predicate, object, evidence, document, page, confidence, false AS inferred FROM top
+POINTS = """pt AS (SELECT id, max(vector)::DOUBLE[] AS v, any_value(payload) AS payload FROM kg_evidence WHERE id IS NOT NULL AND len(vector) = 96
+    AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0 GROUP BY id),
+pq AS (SELECT v AS q FROM pt ORDER BY id LIMIT 1),
+near AS (SELECT id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 4) AS score, payload FROM pt, pq ORDER BY score DESC, id LIMIT 8)"""
+HYBRID = f"""{FACT}, {POINTS},
+two AS (SELECT 0 AS l, rank AS r, ord, subject, predicate, object, evidence, document, page, confidence FROM top
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY score DESC, id), NULL, payload.subject, payload.predicate, payload.object, payload.evidence, payload.document, payload.page,
+    coalesce(CASE WHEN isnan(payload.confidence) THEN NULL ELSE payload.confidence END, 0.5) FROM near),
+once AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY {_K3.format('')} ORDER BY l, r) = 1),
+seed AS (SELECT *, row_number() OVER (ORDER BY l, r) AS place FROM once QUALIFY place <= 8),
+nm AS (SELECT DISTINCT unnest([lower(subject), lower(object)]) AS name FROM seed), hop AS (
+  SELECT * FROM fact WHERE (lower(subject) IN (SELECT name FROM nm WHERE name IS NOT NULL) OR lower(object) IN (SELECT name FROM nm WHERE name IS NOT NULL)) AND {_K3.format('')} NOT IN (SELECT {_K3.format('')} FROM seed) ORDER BY ord LIMIT 6),
+al AS (SELECT 0 AS l, place AS r, ord, subject, predicate, object, evidence, document, page, confidence, false AS inferred FROM seed
   UNION ALL SELECT 1, row_number() OVER (ORDER BY ord), ord, subject, predicate, object, evidence, document, page, confidence, true FROM hop),
 ded AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY {_K3.format('')} ORDER BY l, r) = 1),
 pl AS (SELECT *, row_number() OVER (ORDER BY l, r) AS place FROM ded)"""
 
 
+def evidence_points(spark: SparkSession, d: str) -> DataFrame:
+    """Usable points of the stored vectors, one per id."""
+    e = S.table(spark, d, "kg_evidence")
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    ok = F.col("id").isNotNull() & (F.size("vector") == 96) & ~bad & F.exists("vector", lambda x: x != 0)
+    return e.filter(ok).groupBy("id").agg(F.max("vector").alias("vector"), F.any_value("payload").alias("payload"))
+
+
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    one = top(spark, d).withColumn("inferred", F.lit(False))
-    two = T.ranked(T.hop_expand(top(spark, d), fact(spark, d)), "ord").withColumn("inferred", F.lit(True))
-    return T.merged([one, two])
+    """The question's vector is that of the first point; its text is QUESTION."""
+    p = evidence_points(spark, d)
+    near = T.vector_facts(p, p.orderBy("id").select("vector").first()[0])
+    return T.hybrid(top(spark, d), near, fact(spark, d))
 
 
 @query("hybrid_retrieve", f"WITH {HYBRID} SELECT place, ord, subject, predicate, object, inferred FROM pl")
@@ -701,6 +831,20 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d).select(F.col("place").cast("long").alias("place"), "ord", "subject", "predicate", "object", "inferred")
 
 
+@query(
+    "graph_keyword_topk",
+    f"""WITH {NAMED}, gf AS (SELECT edge_id, subject, predicate, object, confidence, coalesce(n.ev, '') AS evidence FROM named LEFT JOIN (
+    SELECT sid, type, oid, predicate, negated, arg_min(sentence, ord) AS ev FROM lr WHERE sentence IS NOT NULL GROUP BY 1, 2, 3, 4, 5) n USING (sid, type, oid, predicate, negated) ORDER BY edge_id LIMIT 2000),
+gh AS (SELECT *, list_distinct(regexp_extract_all(lower(concat_ws(' ', subject, predicate, object, evidence)), '[a-z0-9]+')) AS h FROM gf),
+gs AS (SELECT edge_id, len(list_filter({_QT}, lambda t: list_contains(h, t) OR (length(t) >= 6 AND len(list_filter(h, lambda x: length(x) >= 6 AND substr(x, 1, 6) = substr(t, 1, 6))) > 0))) AS score, confidence FROM gh)
+SELECT edge_id, score, confidence FROM gs WHERE score > 0 ORDER BY score DESC, confidence DESC, edge_id LIMIT 8""",
+)
+def graph_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword retrieval over the edges of the graph instead of the exported relations."""
+    facts = T.graph_facts(G.named_edges(graph(spark, d)))
+    return T.keyword_topk(facts, QUESTION).select(F.col("ord").alias("edge_id"), F.col("score").cast("long").alias("score"), "confidence")
+
+
 @query(
     "context_lines",
     f"""WITH {HYBRID} SELECT substr(string_agg('[' || place || ':' || CASE WHEN inferred THEN 'INFERRED (2-hop neighbor, weaker)' ELSE 'EXPLICIT' END || '] Subject: ' || coalesce(subject, 'None') || ' | Relation: ' || coalesce(predicate, 'None') || ' | Object: ' || coalesce(object, 'None') || ' | Source: ' || coalesce(document, 'None') || ', page ' || coalesce(page::VARCHAR, 'None') || ', confidence ' || format('{{:.2f}}', confidence) || ' | Evidence: ' || coalesce(evidence, 'None'), chr(10) ORDER BY place), 1, 4000) AS context FROM pl""",
@@ -723,16 +867,17 @@ def entity_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ingest_metrics",
-    f"WITH {SEG}, {MEN}, {REL}, p AS (SELECT DISTINCT ON (document) * FROM pdf_results WHERE document IS NOT NULL) SELECT (SELECT count(*) FROM p) AS num_pdfs, (SELECT count(*) FROM p WHERE needs_ocr) AS needs_ocr, (SELECT count(*) FROM seg) AS num_pages, (SELECT count(*) FROM seg WHERE {STRIP('text')} = '') AS empty_pages, (SELECT count(*) FROM men) AS num_mentions, (SELECT count(*) FROM rel) AS num_relations",
+    f"WITH {SEG}, {MEN}, {REL}, p AS (SELECT DISTINCT ON (document) * FROM pdf_results WHERE document IS NOT NULL) SELECT (SELECT count(*) FROM p) AS num_pdfs, (SELECT count(*) FROM p WHERE needs_ocr) AS needs_ocr, (SELECT count(*) FROM seg) AS num_pages, (SELECT count(*) FROM seg WHERE {STRIP('text')} = '') AS empty_pages, (SELECT count(*) FROM men) AS num_mentions, (SELECT count(*) FROM rel) AS num_relations, (SELECT round(avg(coalesce({GOODCONF}, 0.5)::DECIMAL(18,6))::DOUBLE, 3) FROM rel) AS avg_confidence, (SELECT md5(coalesce(string_agg(document, '|' ORDER BY document), '')) FROM p WHERE needs_ocr) AS ocr_files",
 )
 def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
     pdf = S.table(spark, d, "pdf_results").filter("document is not null").dropDuplicates(["document"])
     a = pdf.agg(F.count("*").alias("num_pdfs"), F.sum(F.coalesce("needs_ocr", F.lit(False)).cast("long")).alias("needs_ocr"))
+    named = pdf.filter("needs_ocr").agg(F.md5(F.array_join(F.array_sort(F.collect_list("document")), "|")).alias("ocr_files"))  # the list of files is part of the summary
     blank = (X.strip(F.coalesce("text", F.lit(""))) == "").cast("long")
     b = S.current_segments(spark, d).agg(F.count("*").alias("num_pages"), F.sum(blank).alias("empty_pages"))
     m = S.current_mentions(spark, d).agg(F.count("*").alias("num_mentions"))
-    r = rel(spark, d).agg(F.count("*").alias("num_relations"))
-    return side_by_side(a, b, m, r)
+    r = rel(spark, d).agg(F.count("*").alias("num_relations"), F.round(F.avg(F.coalesce(M.good(), F.lit(0.5)).cast("decimal(18,6)")).cast("double"), 3).alias("avg_confidence"))
+    return side_by_side(a, b, m, r, named)
 
 
 @query(
@@ -746,14 +891,31 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return M.eval_metrics(G.merge_entities(ent(spark, d)), rel(spark, d))
 
 
+_EVAL = """round(1 - count(DISTINCT concat_ws(chr(1), coalesce(subject_id, subject_text, ''), coalesce(predicate, ''), coalesce(object_id, object_text, '')))::DOUBLE / count(*), 4) AS dup_relation_rate,
+round(sum((coalesce(sentence, '') <> '')::INT)::DOUBLE / count(*), 4) AS provenance_coverage, round(avg(coalesce(CASE WHEN isnan(confidence) THEN NULL ELSE confidence END, 0.5)::DECIMAL(18,6))::DOUBLE, 3) AS avg_confidence,
+sum((coalesce(event_date, '') <> '')::INT)::DOUBLE AS with_event_date, count(*)::DOUBLE AS relations"""
+
+
 @query(
     "eval_delta",
-    f"WITH {DEDUP} SELECT (SELECT count(*) FROM relations) AS before, count(*) AS after, count(*) - (SELECT count(*) FROM relations) AS delta FROM dd",
+    f"""WITH {NODES}, {REL}, n AS (SELECT count(*)::DOUBLE AS entities FROM node), one AS (SELECT {_EVAL} FROM relations), two AS (SELECT {_EVAL} FROM rel),
+b AS (UNPIVOT (SELECT one.*, entities FROM one, n) ON COLUMNS(*) INTO NAME metric VALUE before), a AS (UNPIVOT (SELECT two.*, entities FROM two, n) ON COLUMNS(*) INTO NAME metric VALUE after)
+SELECT metric, before, after, round(after - before, 6) AS delta FROM b JOIN a USING (metric)""",
 )
 def eval_delta(spark: SparkSession, d: str) -> DataFrame:
-    a = S.table(spark, d, "relations").agg(F.count("*").alias("before"))
-    b = VA.deduplicate(VA.with_evidence(rel(spark, d))).agg(F.count("*").alias("after"))
-    return side_by_side(a, b).withColumn("delta", F.col("after") - F.col("before"))
+    """Metrics of the relations as delivered and of the latest deliveries."""
+    e = G.merge_entities(ent(spark, d))
+    return M.delta(M.eval_metrics(e, S.table(spark, d, "relations")), M.eval_metrics(e, rel(spark, d)))
+
+
+@query("eval_status", f"WITH {REL} SELECT coalesce(review_status, '?') AS status, count(*) AS n FROM rel GROUP BY 1")
+def eval_status(spark: SparkSession, d: str) -> DataFrame:
+    return M.status_counts(rel(spark, d))
+
+
+@query("service_metrics", f"WITH {NODES}, {REL} SELECT (SELECT count(*) FROM node) AS entities, count(*) AS relations, round(avg(coalesce({GOODCONF}, 0.5)::DECIMAL(18,6))::DOUBLE, 3) AS avg_confidence FROM rel")
+def service_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return M.service_metrics(G.merge_entities(ent(spark, d)), rel(spark, d))
 
 
 @query(
@@ -766,10 +928,14 @@ def quality_gates(spark: SparkSession, d: str) -> DataFrame:
     return M.quality_gates(G.merge_entities(ent(spark, d)), rel(spark, d))
 
 
-@query("export_relations", f"WITH {REL} SELECT ord, subject_text AS subject, object_text AS object, document, page_number AS page, coalesce(confidence, 0.5) AS confidence FROM rel WHERE NOT isnan(coalesce(confidence, 0.5))")
+@query(
+    "export_relations",
+    f"WITH {REL} SELECT ord, subject_id, subject_text AS subject, predicate, object_text AS object, object_id, relation_type, sentence AS evidence, document, page_number AS page, extraction_method AS method, review_status AS status, coalesce({GOODCONF}, 0.5) AS confidence, event_date, negated FROM rel",
+)
 def export_relations(spark: SparkSession, d: str) -> DataFrame:
-    r = rel(spark, d).filter(~F.isnan(F.coalesce("confidence", F.lit(0.5))))
-    return r.select("ord", F.col("subject_text").alias("subject"), F.col("object_text").alias("object"), "document", F.col("page_number").alias("page"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    """All exported columns of every relation (a confidence that is null or no number is exported as 0.5), and ord."""
+    r = rel(spark, d)
+    return relation_rows(r, "ord")
 
 
 @query(

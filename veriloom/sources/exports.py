@@ -14,11 +14,13 @@ def entity_rows(entities: DataFrame) -> DataFrame:
     return entities.select("id", "name", "normalized_name", "entity_type", _list("mentions").alias("mentions"), _list("documents").alias("documents"))
 
 
-def relation_rows(relations: DataFrame) -> DataFrame:
+def relation_rows(relations: DataFrame, *keys: str) -> DataFrame:
     return relations.select(
+        *keys,
         "subject_id", F.col("subject_text").alias("subject"), "predicate", F.col("object_text").alias("object"), "object_id", "relation_type",
         F.col("sentence").alias("evidence"), "document", F.col("page_number").alias("page"), F.col("extraction_method").alias("method"),
-        F.col("review_status").alias("status"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), "event_date", "negated",
+        F.col("review_status").alias("status"), 
+        F.coalesce(F.when(F.isnan("confidence"), F.lit(None)).otherwise(F.col("confidence")), F.lit(0.5)).alias("confidence"), "event_date", "negated",
     )
 
 

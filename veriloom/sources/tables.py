@@ -39,10 +39,16 @@ def current_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entities").filter("rec_id is not null and id is not null").dropDuplicates(["rec_id"])
 
 
-def list_documents_on_disk(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> DataFrame:
-    """path, length, modified of the files of one folder (not recursive), each once, without reading contents."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
-    return files.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
+def list_documents_on_disk(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}", single: str | None = None) -> DataFrame:
+    """path, length, modified of one named file (an error if it is missing), or of the files of one folder (not recursive); each once, by path, without reading contents."""
+    if single is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(single)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            raise FileNotFoundError(single)
+        files = spark.read.format("binaryFile").load(single)
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"]).orderBy("path")
 
 
 def file_fingerprints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veriloom.functions import text as X
-from veriloom.operators.graph import merge_relations
+from veriloom.operators.graph import merge_edges, merge_relations
 
 
 def relation_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -27,39 +27,38 @@ def hourly_counts(stream: DataFrame, time: str, window: str = "1 hour", watermar
     )
 
 
-def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Snapshot merge: lists append what is absent, confidence takes the maximum, other scalars stay with the older edge."""
-    key = ["sid", "type", "oid", "predicate", "negated"]
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
-    both = lambda c: F.when(F.col(f"o.{c}").isNull(), F.col(f"n.{c}")).when(F.col(f"n.{c}").isNull(), F.col(f"o.{c}")).otherwise(
-        F.concat(F.col(f"o.{c}"), F.array_except(F.col(f"n.{c}"), F.col(f"o.{c}")))
-    )
-    lists = {"evidence", "source_documents", "pages"}
-    cols = []
-    for c in old.columns:
-        if c in lists:
-            cols.append(both(c).alias(c))
-        elif c == "confidence":
-            cols.append(F.greatest(F.col("o.confidence"), F.col("n.confidence")).alias(c))
-        elif c == "told":
-            cols.append((F.coalesce("o.told", F.lit(0)) + F.coalesce("n.told", F.lit(0))).alias(c))
-        else:
-            cols.append(F.when(F.col("o.edge_id").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
-    return joined.select(*cols)
+def newest_version(spark: SparkSession, out: str) -> int | None:
+    """The highest version whose writing was completed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    done = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "edges/_SUCCESS"))]
+    return max((int(x.getName()[1:]) for x in done), default=None)
 
 
 def run_ingest(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> StreamingQuery:
     """Merge every new batch of relations into the newest snapshot ``out/v<N>``; a snapshot is never changed once written.
 
-    A batch that is repeated after a failure writes the same version again.
+    A snapshot holds the edges and, beside them, the keys (ord, ingested_at) of the deliveries it was told.  A batch that is repeated after a failure finds its deliveries known and changes nothing, and a new
+    checkpoint folder goes on from the newest snapshot instead of starting over.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        edges = merge_relations(df.dropDuplicates(["ord", "ingested_at"]))
-        if epoch > 0:
-            edges = merge_edges(spark.read.parquet(f"{out}/v{epoch - 1}"), edges)
-        edges.write.mode("overwrite").parquet(f"{out}/v{epoch}")
+        last = newest_version(spark, out)
+        df = df.dropDuplicates(["ord", "ingested_at"])
+        told = df.select("ord", "ingested_at")
+        if last is not None:
+            seen = spark.read.parquet(f"{out}/v{last}/told")
+            df = df.join(seen, ["ord", "ingested_at"], "left_anti")
+            told = seen.union(df.select("ord", "ingested_at"))
+        edges = merge_relations(df)
+        if last is not None:
+            edges = merge_edges(spark.read.parquet(f"{out}/v{last}/edges"), edges)
+        target = f"{out}/v{0 if last is None else last + 1}"
+        told.write.mode("overwrite").parquet(f"{target}/told")
+        edges.write.mode("overwrite").parquet(f"{target}/edges")
 
     stream = relation_stream(spark, folder, schema).withColumn("predicate", X.clean_display(F.col("predicate")))
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
