@@ -102,6 +102,9 @@ SELECT container AS kind, (SELECT count(*) FROM documents WHERE doc_id IS NOT NU
 FROM container_kinds WHERE container IS NOT NULL AND capacity_tokens > 0 GROUP BY container
 """
 
-P9_CHECKS = "SELECT DISTINCT source, false AS over_used, 0::BIGINT AS strange, false AS off_target FROM mix_targets WHERE source IS NOT NULL"
+P9_CHECKS = """
+SELECT DISTINCT source, false AS over_used, 0::BIGINT AS strange, source NOT IN (SELECT source FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text <> '') AS off_target
+FROM mix_targets WHERE source IS NOT NULL
+"""
 
 ORACLE_SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p2_consensus": P2C, "p4_found": P4, "p7_found": P7, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS, "p10_found": P10}

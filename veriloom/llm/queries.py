@@ -229,14 +229,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per listed source: whether a document is used too often or comes from elsewhere, and whether the share misses its target by over a thousandth."""
-    mixed = materialize(p9_mixture(spark, sf_dir), "mix_checked")
+    """Per listed source: whether a document is used too often or comes from elsewhere, and whether the share misses its target.
+
+    A share is missed if it is off by over a thousandth of all tokens and by more than the longest text of its source: texts are
+    used whole, so a source of a few texts cannot come closer than one of them.  A source without texts misses its share.
+    """
+    docs = counted_documents(spark, sf_dir)
+    mixed = materialize(mixing.mix(docs, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets")), "mix_checked")
+    longest = docs.filter("n_tokens > 0").groupBy("source").agg(F.max("n_tokens").alias("longest"))
     got = mixing.shares(mixed, table(spark, sf_dir, "mix_targets"))
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("own"))
     strange = mixed.join(own, "item", "left").groupBy("source").agg(F.sum((~F.col("own").eqNullSafe(F.col("source"))).cast("long")).alias("strange"))
-    return got.join(strange, "source", "left").select(
+    total = mixed.agg(F.sum(F.col("tokens") * F.col("uses")).alias("total")).first().total or 0
+    off = F.abs(F.col("share") - F.col("target_share")) * total
+    return got.join(strange, "source", "left").join(longest, "source", "left").select(
         "source", (F.col("most_used") > F.col("max_repeats")).alias("over_used"), F.coalesce("strange", F.lit(0)).alias("strange"),
-        (F.abs(F.col("share") - F.col("target_share")) > 0.001).alias("off_target"),
+        (off > F.greatest(F.lit(0.001 * total), F.coalesce("longest", F.lit(0)).cast("double"))).alias("off_target"),
     )
 
 
