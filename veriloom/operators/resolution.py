@@ -8,23 +8,35 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
 from veriloom.functions import vocab as V
+from veriloom.operators.similar import compared, similarity  # noqa: F401
 from veriloom.session import materialize
 
 
+def _grouped(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions with their canonical form, and the mention groups without their lists."""
+    m = mentions.select(
+        "ord", "text", "document", "page_number", "sentence", F.coalesce("entity_type", F.lit("NOUN_PHRASE")).alias("entity_type"),
+        X.canon(F.col("text"), F.col("normalized_name")).alias("normalized_name"),
+    )
+    base = m.groupBy("normalized_name", "entity_type").agg(
+        F.max_by("text", F.struct(F.length("text"), (-F.col("ord")).alias("o"))).alias("name"), F.min("ord").alias("first_ord"), F.count("*").alias("n_mentions")
+    )
+    return m, base
+
+
+def canonical_names(mentions: DataFrame) -> DataFrame:
+    """Mention groups as ``canonical_groups`` has them, without the lists: normalized_name, entity_type, name, first_ord, n_mentions, id."""
+    return _grouped(mentions)[1].withColumn("id", X.entity_id(F.col("entity_type"), F.col("normalized_name")))
+
+
 def canonical_groups(mentions: DataFrame) -> DataFrame:
     """id, normalized_name, entity_type, name, mentions, documents, pages, sentences, first_ord of mention groups.
 
     Lists hold distinct values in order of first use; the display name is the longest text, the first of equals.
     Each list is de-duplicated by its own aggregation before it is collected.
     """
-    m = mentions.select(
-        "ord", "text", "document", "page_number", "sentence", F.coalesce("entity_type", F.lit("NOUN_PHRASE")).alias("entity_type"),
-        X.canon(F.col("text"), F.col("normalized_name")).alias("normalized_name"),
-    )
+    m, base = _grouped(mentions)
     key = ["normalized_name", "entity_type"]
-    base = m.groupBy(*key).agg(
-        F.max_by("text", F.struct(F.length("text"), (-F.col("ord")).alias("o"))).alias("name"), F.min("ord").alias("first_ord"), F.count("*").alias("n_mentions")
-    )
     # One long table of all list values, aggregated once.
     names = {"text": "mentions", "document": "documents", "page_number": "pages", "sentence": "sentences"}
     values = F.array(*(F.struct(F.lit(name).alias("f"), F.col(c).cast("string").alias("v")) for c, name in names.items()))
@@ -72,55 +84,10 @@ def alias_pairs(groups: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "why").groupBy("id_a", "id_b").agg(F.max("why").alias("why"))
 
 
-def _indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence / total length."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = diag + 1 if x == y else max(row[j], row[j - 1])
-            diag = keep
-    return 2.0 * row[-1] / (len(a) + len(b))
-
-
-def similarity(a: str, b: str) -> float:
-    """The larger of the plain ratio and the token-set ratio, 0 to 1."""
-    best = _indel_ratio(a, b)
-    sa, sb = set(a.split()), set(b.split())
-    common, left, right = " ".join(sorted(sa & sb)), " ".join(sorted(sa - sb)), " ".join(sorted(sb - sa))
-    if common and (not left or not right):
-        return 1.0
-    one, two = (common + " " + left).strip(), (common + " " + right).strip()
-    best = max(best, _indel_ratio(one, two))
-    if common:
-        best = max(best, _indel_ratio(common, one), _indel_ratio(common, two))
-    return best
-
-
-def _similar(threshold: float):
-    def run(batches):
-        for pdf in batches:
-            pdf["similarity"] = [similarity(x or "", y or "") for x, y in zip(pdf["normalized_name_a"], pdf["normalized_name_b"])]
-            yield pdf.loc[pdf["similarity"] >= threshold, ["id_a", "id_b", "similarity"]]
-
-    return run
-
-
 def fuzzy_pairs(groups: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """id_a, id_b, similarity of compatible names with a common content token (the blocking key) at or above ``threshold``.
-
-    The pair is compared under its rarest common token only, so it is produced once.
-    """
-    g = materialize(_tokens_of(groups).filter(F.size("tokens") > 0), "fuzzy_groups")
-    tok = g.select("id", "normalized_name", "entity_type", F.explode("tokens").alias("t"))
-    a = tok.select("t", *(F.col(c).alias(f"{c}_a") for c in ("id", "normalized_name", "entity_type")))
-    b = tok.select("t", *(F.col(c).alias(f"{c}_b") for c in ("id", "normalized_name", "entity_type")))
-    cand = a.join(b, "t").filter((F.col("id_a") < F.col("id_b")) & X.compatible_types(F.col("entity_type_a"), F.col("entity_type_b")))
-    cand = cand.select("id_a", "id_b", "normalized_name_a", "normalized_name_b").distinct()
-    return cand.mapInPandas(_similar(threshold), "id_a string, id_b string, similarity double")
+    """id_a, id_b, similarity of compatible names with a common content token (the blocking key) at or above ``threshold``."""
+    g = _tokens_of(groups).filter(F.size("tokens") > 0).select("id", "normalized_name", "entity_type", "tokens")
+    return compared(materialize(g, "fuzzy_groups"), threshold, X.compatible_types)
 
 
 def _label_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -350,7 +350,7 @@ def alias_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fuzzy_pairs")
 def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuzzy_pairs(R.canonical_groups(S.current_mentions(spark, d)))
+    return R.fuzzy_pairs(R.canonical_names(S.current_mentions(spark, d)))
 
 
 @query("resolved_clusters")
