@@ -32,3 +32,8 @@ def test_initial_that_looks_like_an_article(spark):
     e = spark.createDataFrame([(*r, []) for r in rows], "id string, normalized_name string, name string, mentions array<string>, alternative_names array<string>")
     got = {r.id: r.name for r in variants.shown_names(e).select("id", F.col("name")).collect()}
     assert got == {"1": "a. r drenkasex", "2": "the. selgimabach", "3": "trolukes", "4": "a. bársakick", "5": "kelrond bank"}
+
+
+def test_short_stems_and_numbers_of_no_known_kind(spark):
+    names = ["abc foundation", "abc fdn", "abd foundation", "abc hospital", "kelrondavik unit 5", "kelrondavk unit 5", "kelrondavik unit 6"]
+    assert linked(spark, *names) == {("n0", "n1"), ("n4", "n5")}
